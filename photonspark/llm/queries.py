@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from photonspark.llm import byte_bpe, language_id, sql
+from photonspark.llm import byte_bpe, compression_quality, language_id, sql, suffix_tree, token_orc
 from photonspark.llm.quality_rules import quality_ledger
 from photonspark.llm.workspace import crc32_of_id, table
 
@@ -30,10 +30,29 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> D
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc32_of_id() % 7 == 2
+    return suffix_tree.score(table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
+
+
+def op9_token_orc(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    return token_orc.encode_to_orc(table(spark, sf_dir, "documents"), path or public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_of_id() % 4 == 2
+    model = compression_quality.fit(*compression_quality.training_rows(docs, table(spark, sf_dir, "labels"), ~held_out))
+    return compression_quality.classify(docs, model).withColumn("held_out", held_out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_suffix_tree": op6_suffix_tree,
+    "op9_token_orc": op9_token_orc,
+    "op10_compression_quality": op10_compression_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
