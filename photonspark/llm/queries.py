@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from photonspark.llm import byte_bpe, compression_quality, language_id, sql, suffix_tree, token_orc
+from photonspark.llm.near_dedup import near_duplicates
 from photonspark.llm.quality_rules import quality_ledger
 from photonspark.llm.workspace import crc32_of_id, table
 
@@ -25,6 +26,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).withColumn("held_out", held_out)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -49,6 +54,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
+    "op3_near_dedup": op3_near_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_suffix_tree": op6_suffix_tree,
     "op9_token_orc": op9_token_orc,
@@ -57,4 +63,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": sql.OP1,
+    "op3_near_dedup": sql.OP3,
 }
