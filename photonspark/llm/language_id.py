@@ -141,12 +141,12 @@ def training_rows(docs: DataFrame, usable: Column, per_language: int = 400, max_
 
 
 def identify(docs: DataFrame, model: KernelModel, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Keys, ``lang_pred`` and ``score`` of every row."""
+    """Keys (``text`` may be one), ``lang_pred`` and ``score`` of every row."""
     kinds = dict(docs.dtypes)
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded: landmarks x their n-grams
 
     def block(columns: dict[str, list]) -> dict[str, list]:
-        said, score = predict(held.value, columns.pop("text"))
+        said, score = predict(held.value, columns["text"])
         return columns | {"lang_pred": said, "score": score}
 
-    return per_row(docs, [*keys, "text"], ", ".join([f"{k} {kinds[k]}" for k in keys] + ["lang_pred string", "score double"]), block, rows=512)
+    return per_row(docs, list(dict.fromkeys([*keys, "text"])), ", ".join([f"{k} {kinds[k]}" for k in keys] + ["lang_pred string", "score double"]), block, rows=512)

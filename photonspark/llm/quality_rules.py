@@ -94,7 +94,7 @@ def mask(policy: str, version: int) -> int:
 
 
 def _block(columns: dict[str, list]) -> dict[str, list]:
-    texts = columns.pop("text")
+    texts = columns["text"]
     found = list(zip(*map(measure, texts))) if texts else [[] for _ in MEASURES]
     return columns | dict(zip(MEASURES, map(list, found)))
 
@@ -103,7 +103,7 @@ def ledger(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Keys, measurements and ``fail_bits`` of every row of ``docs``; one pass, no shuffle."""
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{m} long" for m in MEASURES])
-    measured = per_row(docs, [*keys, "text"], schema, _block)
+    measured = per_row(docs, list(dict.fromkeys([*keys, "text"])), schema, _block)
     bits = sum((F.when(condition, F.lit(1 << bit)).otherwise(F.lit(0)) for bit, condition in enumerate(rules().values())), F.lit(0))
     return measured.withColumn("fail_bits", bits.cast("long"))
 
@@ -133,8 +133,8 @@ def ablation(led: DataFrame, policy: str, version: int) -> DataFrame:
     )
 
 
-def quality_ledger(docs: DataFrame, policy: str = "training", version: int = 1) -> DataFrame:
-    """The ledger with the base verdict and the verdict of one policy version."""
-    led = apply_policy(ledger(docs), policy, version)
+def quality_ledger(docs: DataFrame, policy: str = "training", version: int = 1, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ledger with the base verdict and the verdict of one policy version; ``keys`` are carried along."""
+    led = apply_policy(ledger(docs, keys), policy, version)
     failed = F.col("fail_bits").bitwiseAND(F.lit(mask("base", 1)).cast("long")) != 0
     return led.withColumn("base_failed", failed).withColumn("kept", F.col("kept") & ~F.col("base_failed")).withColumn("policy", F.lit(f"{policy}@{version}"))

@@ -10,8 +10,11 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from photonspark.llm import byte_bpe, compression_quality, language_id, sql, suffix_tree, token_orc
+from photonspark.llm.chat_format import format_chats, from_turns
+from photonspark.llm.decontaminate import contained_items
 from photonspark.llm.near_dedup import near_duplicates
 from photonspark.llm.quality_rules import quality_ledger
+from photonspark.llm.warc import archive_pages
 from photonspark.llm.workspace import crc32_of_id, table
 
 
@@ -35,11 +38,24 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> D
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc32_of_id() % 7 == 2
     return suffix_tree.score(table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parameters = {"chars": ("integer", True), "text": ("string", True)}
+    return format_chats(from_turns(table(spark, sf_dir, "conversations")), parameters, "reply")
+
+
 def op9_token_orc(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     return token_orc.encode_to_orc(table(spark, sf_dir, "documents"), path or public_tokenizers.path("word_bpe_49k.json"))
 
@@ -56,7 +72,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_near_dedup": op3_near_dedup,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_warc": op5_warc,
     "op6_suffix_tree": op6_suffix_tree,
+    "op7_decontamination": op7_decontamination,
+    "op8_tool_calls": op8_tool_calls,
     "op9_token_orc": op9_token_orc,
     "op10_compression_quality": op10_compression_quality,
 }
@@ -64,4 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": sql.OP1,
     "op3_near_dedup": sql.OP3,
+    "op5_warc": sql.OP5,
+    "op7_decontamination": sql.OP7,
+    "op8_tool_calls": sql.OP8,
 }

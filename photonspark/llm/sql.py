@@ -53,3 +53,53 @@ reach(doc_id, node) AS (
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id) AS c USING (doc_id)
 """
+
+OP5 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, payload_bytes, max(page_id) AS kept FROM p WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN kept IS NOT NULL AND page_id IS DISTINCT FROM kept THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN kept IS NOT NULL AND page_id IS DISTINCT FROM kept THEN kept END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest, payload_bytes)
+"""
+
+OP7 = rf"""
+WITH d AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_LOWER_WORDS} AS w FROM benchmark),
+dg AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN w ELSE w[i : i + 4] END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+bg AS (
+  SELECT DISTINCT item_id, CASE WHEN len(w) < 5 THEN w ELSE w[i : i + 4] END AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM b WHERE len(w) > 0)),
+n AS (SELECT item_id, count(*) AS n_item FROM bg GROUP BY item_id)
+SELECT doc_id, item_id, any_value(n_item)::BIGINT AS n_item, count(*)::BIGINT AS n_shared, count(*)::DOUBLE / any_value(n_item) AS containment
+FROM dg JOIN bg USING (g) JOIN n USING (item_id)
+GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n_item)
+"""
+
+OP8 = """
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role, text,
+    CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+    CASE role WHEN 'user' THEN conv_id || ':' || turn WHEN 'assistant' THEN conv_id || ':' || (turn - 1) END AS call_id
+  FROM conversations),
+e AS (SELECT call_id, kind, min(turn) AS turn FROM m WHERE kind <> 'message' GROUP BY ALL),
+o AS (SELECT call_id, CASE kind WHEN 'call' THEN 'result' ELSE 'call' END AS kind, turn AS linked_turn FROM e),
+node AS (
+  SELECT e.call_id, e.kind, CASE e.kind
+      WHEN 'result' THEN 'call ' || e.call_id
+      ELSE 'result ' || split_part(e.call_id, ':', 1) || ':' || (e.turn - 2) END AS parent
+  FROM e),
+lv(name, level) AS (
+  SELECT kind || ' ' || call_id, 0::BIGINT FROM node WHERE parent NOT IN (SELECT kind || ' ' || call_id FROM node)
+  UNION ALL
+  SELECT kind || ' ' || call_id, level + 1 FROM lv JOIN node ON node.parent = lv.name)
+SELECT conv_id, turn, role, m.kind, m.call_id, linked_turn, coalesce(level, 0) AS level,
+  CASE WHEN m.kind = 'call' THEN text IS NOT NULL END AS valid,
+  '{' || CASE WHEN m.kind = 'call' THEN '"arguments":{"chars":' || len(coalesce(text, '')) || ',"text":' || to_json(text)::VARCHAR || '},' ELSE '"content":' || to_json(text)::VARCHAR || ',' END
+    || '"conversation":' || conv_id || ',' || CASE WHEN m.call_id IS NULL THEN '' ELSE '"id":"' || m.call_id || '",' END
+    || '"kind":"' || m.kind || '","level":' || coalesce(level, 0) || ',' || CASE WHEN m.kind = 'call' THEN '"name":"reply",' ELSE '' END
+    || '"role":"' || role || '","turn":' || turn || '}' AS json
+FROM m LEFT JOIN o ON o.call_id = m.call_id AND o.kind = m.kind LEFT JOIN lv ON lv.name = m.kind || ' ' || m.call_id
+"""
