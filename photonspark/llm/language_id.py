@@ -69,6 +69,8 @@ def _codes(symbols: np.ndarray, base: int) -> np.ndarray:
 def fit(rows: list[tuple[str, str]], n_landmarks: int = 240, ridge: float = 0.1, max_alphabet: int = 120, seed: int = 7) -> KernelModel:
     """Fit on (text, language) rows; landmarks are drawn evenly from the languages."""
     languages = sorted({lang for _, lang in rows})
+    if not languages:
+        return KernelModel([], np.zeros(1, np.uint32), np.zeros(0, np.int32), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
     counts: dict[int, int] = {}
     for text, _ in rows:
         for point in np.unique(_symbols(text, None)):
@@ -81,8 +83,8 @@ def fit(rows: list[tuple[str, str]], n_landmarks: int = 240, ridge: float = 0.1,
 
     draw = np.random.default_rng(seed)
     each = max(1, n_landmarks // max(1, len(languages)))
-    chosen = np.concatenate([draw.permutation(np.flatnonzero(target == k))[:each] for k in range(len(languages))]) if languages else np.array([], int)
-    columns = np.unique(np.concatenate([grams[i] for i in chosen])) if len(chosen) else np.array([0])
+    chosen = np.concatenate([draw.permutation(np.flatnonzero(target == k))[:each] for k in range(len(languages))])
+    columns = np.unique(np.concatenate([grams[i] for i in chosen]))
     slots = np.full((base + 1) ** 3, -1, dtype=np.int32)
     slots[columns] = np.arange(len(columns))
 

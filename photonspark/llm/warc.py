@@ -18,6 +18,7 @@ an empty table gives no rows. Other input columns are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -61,13 +62,17 @@ SCHEMA = "record_id string, record_type string, target_uri string, date string,
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+#: Control characters would end a header line; they are percent-encoded.
+_CONTROL = re.compile(r"[\x00-\x1f\x7f]")
+
+
 def record_bytes(row: dict) -> bytes:
     """One record, not compressed."""
     payload = row["payload"] or b""
     response = row["record_type"] == "response"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) if response else b""
     block = http + payload
-    head = ["WARC/1.1", *(f"{field}: {row[name]}" for name, field in FIELDS.items() if row.get(name) is not None)]
+    head = ["WARC/1.1", *(f"{field}: {_CONTROL.sub(lambda m: f'%{ord(m[0]):02X}', str(row[name]))}" for name, field in FIELDS.items() if row.get(name) is not None)]
     head += ["Content-Type: application/http; msgtype=response"] if response else [f"WARC-Profile: {REVISIT_PROFILE}"] if row["record_type"] == "revisit" else []
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
