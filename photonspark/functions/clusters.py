@@ -45,12 +45,16 @@ def block_sums(data: Column, shape: Shape) -> dict[int, Column]:
     return {corner: data[i] + data[j] + data[k] + data[m] for corner, (i, j, k, m) in shape.blocks().items()}
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: without this, every use would copy its expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def max_sum_2x2(data: Column, shape: Shape) -> Column:
     """struct(sum, index): the largest block, the first in corner order on ties."""
     sums = block_sums(data, shape)
-    best = F.greatest(*sums.values()) if len(sums) > 1 else next(iter(sums.values()))
-    index = F.coalesce(*(F.when(s == best, F.lit(c)) for c, s in sums.items()))
-    return F.struct(best.alias("sum"), index.alias("index"))
+    codes = F.array(*map(F.lit, sums))
+    return let(F.array(*sums.values()), lambda s: F.struct(F.array_max(s).alias("sum"), F.element_at(codes, F.array_position(s, F.array_max(s)).cast("int")).alias("index")))
 
 
 def _by_corner(corner: Column, values: dict[int, Column]) -> Column:
@@ -78,15 +82,17 @@ def _first_max(data: Column) -> Column:
 
 def eta2(data: Column, shape: Shape) -> Column:
     """Ratios along the winning block's row and column through the center."""
-    best = max_sum_2x2(data, shape)
-    c, s, corner = shape.center, shape.sx, best["index"]
-    here = data[c]
+    c, s, here, have = shape.center, shape.sx, data[shape.center], shape.blocks()
     left, right = (lambda: safe_divide(here, data[c - 1] + here)), (lambda: safe_divide(data[c + 1], here + data[c + 1]))
     up, low = (lambda: safe_divide(here, data[c - s] + here)), (lambda: safe_divide(data[c + s], here + data[c + s]))
-    have = shape.blocks()
-    x = _by_corner(corner, {k: (left() if k in (TL, BL) else right()) for k in have})
-    y = _by_corner(corner, {k: (up() if k in (TL, TR) else low()) for k in have})
-    return _eta(x, y, corner, best["sum"])
+
+    def body(best: Column) -> Column:
+        corner = best["index"]
+        x = _by_corner(corner, {k: (left() if k in (TL, BL) else right()) for k in have})
+        y = _by_corner(corner, {k: (up() if k in (TL, TR) else low()) for k in have})
+        return _eta(x, y, corner, best["sum"])
+
+    return let(max_sum_2x2(data, shape), body)
 
 
 def eta2_2x2(data: Column) -> Column:
@@ -102,11 +108,15 @@ def eta2_2x2(data: Column) -> Column:
 
 def full_eta2(data: Column, shape: Shape) -> Column:
     """Right column and lower row of the winning block over its sum."""
-    best = max_sum_2x2(data, shape)
-    corner, have = best["index"], shape.blocks()
-    x = _by_corner(corner, {k: safe_divide(data[at[1]] + data[at[3]], best["sum"]) for k, at in have.items()})
-    y = _by_corner(corner, {k: safe_divide(data[at[2]] + data[at[3]], best["sum"]) for k, at in have.items()})
-    return _eta(x, y, corner, best["sum"])
+    have = shape.blocks()
+
+    def body(best: Column) -> Column:
+        corner = best["index"]
+        x = _by_corner(corner, {k: safe_divide(data[at[1]] + data[at[3]], best["sum"]) for k, at in have.items()})
+        y = _by_corner(corner, {k: safe_divide(data[at[2]] + data[at[3]], best["sum"]) for k, at in have.items()})
+        return _eta(x, y, corner, best["sum"])
+
+    return let(max_sum_2x2(data, shape), body)
 
 
 def full_eta2_2x2(data: Column) -> Column:

@@ -46,7 +46,8 @@ def frozen_clusters(frames: DataFrame, pedestal: DataFrame, n_sigma: float = 5.0
     )
     limit = F.col("rms") * (n_sigma * 1_000_000)
     photon = (F.col("v") >= -limit) & (F.col("v") == F.col("most")) & ((F.col("most") > limit) | (F.col("total") > c3 * limit))
-    place = lambda dy, dx: F.coalesce(F.element_at(F.map_from_entries(F.transform("near", lambda n: F.struct((n["dy"] * 100 + n["dx"]).alias("k"), n["v"].alias("v")))), F.lit(dy * 100 + dx)), F.lit(0))
+    near = F.map_from_entries(F.transform("near", lambda n: F.struct((n["dy"] * 100 + n["dx"]).alias("k"), n["v"].alias("v"))))
+    place = lambda dy, dx: F.coalesce(F.try_element_at(near, F.lit(dy * 100 + dx)), F.lit(0))
     data = F.array(*(F.round(place(dy, dx) / 1_000_000).cast("long") for dy in range(-hy, hy + sy % 2) for dx in range(-hx, hx + sx % 2)))
     return found.where(F.col("v").isNotNull() & photon).select("frame", F.col("col").alias("x"), F.col("row").alias("y"), data.alias("data"))
 
