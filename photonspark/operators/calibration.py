@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonspark.functions.decode import gain, value
-from photonspark.operators.small import checked_broadcast
+from photonspark.operators.small import LOOKUP_ROWS, bounded_broadcast
 
 PIXEL = ["row", "col"]
 
@@ -41,15 +41,23 @@ def switching_pixels(frames: DataFrame) -> DataFrame:
     return frames.groupBy(*PIXEL).agg(F.count_if(gain("raw") != 0).alias("switches"))
 
 
+def _lookup(pedestals: DataFrame, calibration: DataFrame, keys: list[str]) -> DataFrame:
+    """Pedestal and calibration by key. The calibration has one row a key, so the join has no more rows
+    than it; only the calibration, a file of the detector's size, is counted for the broadcast."""
+    few = calibration.limit(LOOKUP_ROWS + 1).count()
+    both = pedestals.select(*keys, F.col("mean").alias("_p")).join(calibration.select(*keys, F.col("cal").alias("_c")), keys)
+    return bounded_broadcast(both, few)
+
+
 def apply_calibration(frames: DataFrame, pedestals: DataFrame, calibration: DataFrame) -> DataFrame:
     """(value - pedestal[gain, row, col]) / calibration[gain, row, col]."""
-    table = checked_broadcast(pedestals.select("gain", *PIXEL, F.col("mean").alias("_p")).join(calibration.select("gain", *PIXEL, F.col("cal").alias("_c")), ["gain", *PIXEL]))
+    table = _lookup(pedestals, calibration, ["gain", *PIXEL])
     rows = frames.withColumn("gain", gain("raw").cast("long"))
     return rows.join(table, ["gain", *PIXEL]).withColumn("energy", (value("raw") - F.col("_p")) / F.col("_c")).drop("_p", "_c")
 
 
 def apply_calibration_g0(frames: DataFrame, pedestals: DataFrame, calibration: DataFrame) -> DataFrame:
     """Gain 0 only; other gains become 0."""
-    table = checked_broadcast(pedestals.select(*PIXEL, F.col("mean").alias("_p")).join(calibration.select(*PIXEL, F.col("cal").alias("_c")), PIXEL))
+    table = _lookup(pedestals, calibration, PIXEL)
     energy = F.when(gain("raw") != 0, F.lit(0.0)).otherwise((value("raw") - F.col("_p")) / F.col("_c"))
     return frames.join(table, PIXEL).withColumn("energy", energy).drop("_p", "_c")

@@ -17,21 +17,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonspark.operators.small import checked_broadcast
+from photonspark.operators.small import bounded_broadcast
 
 MAX_HIT_PIXELS = 50
 
 
-def frozen_clusters(frames: DataFrame, pedestal: DataFrame, n_sigma: float = 5.0, sx: int = 3, sy: int = 3) -> DataFrame:
+def frozen_clusters(frames: DataFrame, pedestal: DataFrame, n_sigma: float = 5.0, sx: int = 3, sy: int = 3, n_pixels: int | None = None) -> DataFrame:
     """(frame, x, y, data): pixels that hold their window's maximum in a window that passes.
 
     ``frames(frame, row, col, value)``, ``pedestal(row, col, mean, std)``. Residuals are whole
     micro-units, so sums do not depend on their order. Pixels outside the image count as 0.
+    ``n_pixels``: the detector's pixels, i.e. the most rows the pedestal can have.
     """
     hx, hy = sx // 2, sy // 2
     c3 = math.sqrt(sx * sy)
     micro = F.floor((F.col("value") - F.col("mean")) * 1_000_000 + 0.5).cast("long")
-    px = frames.join(checked_broadcast(pedestal), ["row", "col"]).select("frame", "row", "col", micro.alias("v"), F.col("std").alias("rms"))
+    px = frames.join(bounded_broadcast(pedestal, n_pixels), ["row", "col"]).select("frame", "row", "col", micro.alias("v"), F.col("std").alias("rms"))
     offsets = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-hy, hy + sy % 2) for dx in range(-hx, hx + sx % 2)))
     spread = px.select("*", F.explode(offsets).alias("o"))
     # a pixel's value reaches the windows around it: the window's center is the pixel minus the offset

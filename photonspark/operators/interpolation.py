@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from photonspark.functions.clusters import ETA, Shape
 from photonspark.functions.search import last_smaller
-from photonspark.operators.small import checked_broadcast
+from photonspark.operators.small import bounded_broadcast
 
 #: Shift of the photon by corner for the 2x2 eta kinds.
 SHIFT_X = {0: -1.0, 1: 0.0, 2: -1.0, 3: 0.0}
@@ -45,7 +45,8 @@ def transform_eta(df: DataFrame, eta: Column, table: DataFrame, xbins: list[floa
         return F.when(at < len(edges) - 1, at.cast("long")).otherwise(F.raise_error(F.lit("eta outside the bins")).cast("long"))
 
     placed = df.withColumn("_eta", eta).withColumn("ix", cell(xbins, F.col("_eta.x"))).withColumn("iy", cell(ybins, F.col("_eta.y"))).withColumn("ie", cell(ebins, F.col("_eta.sum").cast("double")))
-    return placed.join(checked_broadcast(table), ["ix", "iy", "ie"]).drop("ix", "iy", "ie")
+    cells = (len(xbins) - 1) * (len(ybins) - 1) * (len(ebins) - 1)
+    return placed.join(bounded_broadcast(table, cells), ["ix", "iy", "ie"]).drop("ix", "iy", "ie")
 
 
 def interpolate(clusters: DataFrame, shape: Shape, kind: str, table: DataFrame, xbins: list[float], ybins: list[float], ebins: list[float], clamp: bool = False) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Broadcast a side only after checking its size; beyond the bound the join shuffles both sides."""
+"""Broadcast a side only behind a check of its size; beyond the bound the join shuffles both sides."""
 
 from __future__ import annotations
 
@@ -9,5 +9,15 @@ from pyspark.sql import functions as F
 LOOKUP_ROWS = 4_000_000
 
 
+def bounded_broadcast(df: DataFrame, rows: int | None) -> DataFrame:
+    """Broadcast a table that is known to have at most ``rows`` rows, if these are few enough.
+
+    Nothing is run to find out. Without a bound the join is left to adaptive execution, which
+    knows the real sizes.
+    """
+    return F.broadcast(df) if rows is not None and rows <= LOOKUP_ROWS else df
+
+
 def checked_broadcast(df: DataFrame, rows: int = LOOKUP_ROWS) -> DataFrame:
+    """For tables that are cheap to read, such as files: counts up to the bound first."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -355,7 +355,7 @@ def g1_clusters_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = frames.groupBy("row", "col").agg(F.sum(v).alias("s"), F.sum(v * v).alias("s2"))
     variance = F.greatest((F.col("s2") * 64 - F.col("s") * F.col("s")).cast("double"), F.lit(0.0))
     pedestal = s.select("row", "col", (F.col("s").cast("double") / 64).alias("mean"), (F.sqrt(variance) / 64).alias("std"))
-    return spread(finder.frozen_clusters(frames, pedestal, n_sigma=1.0), 9)
+    return spread(finder.frozen_clusters(frames, pedestal, n_sigma=1.0, n_pixels=ROWS * COLS), 9)
 
 
 @query
