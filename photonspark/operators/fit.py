@@ -267,6 +267,19 @@ def fit_pixels(df: DataFrame, fit: FitModel, x: list[float] | None = None, rows:
     return df.select("row", "col", "y", *["y_err"] * weighted).mapInPandas(run, "row long, col long, par array<double>, par_err array<double>, chi2 double, ndf int")
 
 
+#: Older names of fits and their models; ``pol1`` there is slope, intercept.
+LEGACY = {"gaus": "gaussian", "pol1": "pol1", "scurve": "rising_scurve", "scurve2": "falling_scurve"}
+
+
+def fit_legacy(df: DataFrame, name: str, x: list[float]) -> DataFrame:
+    """``fit_gaus``, ``fit_pol1``, ``fit_scurve`` and ``fit_scurve2``: parameters only, or with ``y_err`` also errors, chi2 and Ndf."""
+    weighted = "y_err" in df.columns
+    found = fit_pixels(df, FitModel(LEGACY[name], compute_errors=weighted), x)
+    if name == "pol1":
+        found = found.withColumn("par", F.reverse("par")).withColumn("par_err", F.reverse("par_err"))
+    return found.withColumnRenamed("ndf", "Ndf") if weighted else found.select("row", "col", "par")
+
+
 def pack_points(df: DataFrame) -> DataFrame:
     """Long points (row, col, x, y) to one array a pixel, ordered by x; a pixel has as many values as the scan has steps."""
     points = df.groupBy("row", "col").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p"))

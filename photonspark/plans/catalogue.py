@@ -65,6 +65,21 @@ def d9_mask24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(*LINE, decode.mask24(_word(), 4).alias("masked"))
 
 
+def _bytes(n: int) -> Column:
+    """The first n bytes of a digest of the id."""
+    return F.unhex(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 2 * n))
+
+
+@query
+def d10_expand24(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", decode.expand24to32(_bytes(15)).alias("data")), 5)
+
+
+@query
+def d11_expand4to8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", decode.expand4to8(_bytes(4)).cast("array<bigint>").alias("data")), 8)
+
+
 @query
 def d17_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.array(*map(F.lit, ("ns", "us", "ms", "s", "")))[(F.col("event_id") % 5).cast("int")]
@@ -412,6 +427,12 @@ def r10_erf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(*LINE, F.round(models.erf((F.col("l_quantity") - 25) / 10), 9).alias("erf"))
 
 
+@query
+def d20_scurve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = [F.lit(v) for v in (5.0, 0.1, 25.0, 6.0, 100.0, 0.5)]
+    return table(spark, sf_dir, "lineitem").select(*LINE, F.round(models.rising_scurve(F.col("l_quantity"), p), 6).alias("y"))
+
+
 @query
 def r12_chi2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fit.chi2_of(scan(spark, sf_dir), ["pixel"], F.col("y").cast("double"), (3 * F.col("x")).cast("double"))

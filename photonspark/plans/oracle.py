@@ -199,6 +199,8 @@ SQL: dict[str, str] = {
     "d6_sar04": f"SELECT l_orderkey, l_linenumber, l_partkey, {bits(WORD, decode.SAR_04)} AS decoded FROM lineitem",
     "d8_custom_weights": q(PX, "SELECT l_orderkey, l_linenumber, l_partkey, round(" + " + ".join(f"((raw >> {i}) & 1) * {1.5 + i / 10!r}::DOUBLE ** {i}" for i in range(12)) + ", 6) AS weighted FROM px"),
     "d9_mask24": f"SELECT l_orderkey, l_linenumber, l_partkey, ({WORD} >> 4) & 16777215 AS masked FROM lineitem",
+    "d10_expand24": "SELECT doc_id, " + ", ".join(" + ".join(f"('0x' || substr(h, {6 * i + 2 * k + 1}, 2))::BIGINT * {256**k}" for k in range(3)) + f" AS d{i}" for i in range(5)) + " FROM (SELECT doc_id, md5(doc_id::VARCHAR) AS h FROM documents)",
+    "d11_expand4to8": "SELECT doc_id, " + ", ".join(f"('0x' || substr(h, {i + 2 if i % 2 == 0 else i}, 1))::BIGINT AS d{i}" for i in range(8)) + " FROM (SELECT doc_id, md5(doc_id::VARCHAR) AS h FROM documents)",
     "d17_duration": "SELECT event_id, CAST(round((event_id % 1000) * [1, 1000, 1000000, 1000000000, 1000000000][event_id % 5 + 1]) AS BIGINT) AS ns FROM events",
     "d19_safe_divide": "SELECT l_orderkey, l_linenumber, l_partkey, coalesce(l_extendedprice / nullif(l_discount, 0), 0.0) AS ratio FROM lineitem",
     "a1_last_smaller": f"SELECT o_orderkey, greatest(len(list_filter({EDGES}, lambda e: e < o_totalprice / 5)) - 1, 0) AS idx FROM orders",
@@ -262,5 +264,6 @@ SELECT ix, iy, ie, ietax, {conditional('iy', 'ix, ie')} AS ietay FROM cube JOIN
     "r2_pol2": pol2(),
     "r9_gauss_start": q(SCAN, "peak AS (SELECT pixel, max(y) AS height FROM scan GROUP BY pixel)", "SELECT pixel, height, min(x) FILTER (y = height) AS mu, (max(x) FILTER (2 * y > height) - min(x) FILTER (2 * y > height)) / 2.35::DOUBLE AS sigma FROM scan JOIN peak USING (pixel) GROUP BY ALL"),
     "r10_erf": f"SELECT l_orderkey, l_linenumber, l_partkey, round({ERF}, 9) AS erf FROM (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + 0.3275911::DOUBLE * abs(z)) AS t FROM (SELECT *, (l_quantity - 25) / 10 AS z FROM lineitem))",
+    "d20_scurve": f"SELECT l_orderkey, l_linenumber, l_partkey, round(5.0::DOUBLE + 0.1::DOUBLE * l_quantity + 0.5::DOUBLE * (1.0::DOUBLE + {ERF}) * (100.0::DOUBLE + 0.5::DOUBLE * (l_quantity - 25)), 6) AS y FROM (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + 0.3275911::DOUBLE * abs(z)) AS t FROM (SELECT *, (l_quantity - 25) / (sqrt(2.0::DOUBLE) * 6.0::DOUBLE) AS z FROM lineitem))",
     "r12_chi2": q(SCAN, "SELECT pixel, round(sum((y - 3 * x) * (y - 3 * x))::DOUBLE, 6) AS chi2 FROM scan GROUP BY pixel"),
 }
