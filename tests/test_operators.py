@@ -255,3 +255,11 @@ def test_closed_forms(spark):
         assert (r["p0"], r["p1"], r["p2"]) == pytest.approx((2, 3, r["k"]), abs=1e-9)
     line = fit.fit_pol1(df.where("k = 0"), ["k"], F.col("x"), F.col("y"), 1 + F.col("x")).first()
     assert (line["p0"], line["p1"]) == pytest.approx((2, 3))
+
+
+def test_legacy_fits(spark):
+    x = np.linspace(0, 10, 40)
+    df = spark.createDataFrame([(0, 0, (3 + 2 * x).tolist(), [0.5] * 40)], "row long, col long, y array<double>, y_err array<double>")
+    line = fit.fit_legacy(df, "pol1", x.tolist()).first()
+    assert line["par"] == pytest.approx([2, 3], rel=1e-6) and line["Ndf"] == 38
+    assert fit.fit_legacy(df.drop("y_err"), "gaus", x.tolist()).columns == ["row", "col", "par"]
