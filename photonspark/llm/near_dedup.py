@@ -11,9 +11,13 @@
    pivot (other pivots every round), at most one pair a document and round. Pairs pass a size and a
    sketch filter, are confirmed on the full shingle sets of the texts, and merge components. A
    large group of near copies costs one pair a member and round this way.
-4. Nodes of at most ``LEAF`` members that still hold several components are compared exhaustively
-   across components; larger ones branch further and run through 3 and 4 again. Nodes left at
-   ``MAX_DEPTH`` are compared exhaustively whatever their size, so nothing is cut off.
+4. Nodes of at most ``LEAF`` members that still hold several components are compared exhaustively:
+   rows with a close partner of another component in a node make families (connected through
+   nodes); one task holds the sets of a family of at most ``FAMILY`` rows and counts the shared
+   shingles of all rows outside its largest component with all others, so no pair becomes a row.
+   Larger families are compared pair by pair inside their nodes. Nodes of over ``LEAF`` members
+   branch further and run through 3 and 4 again; those left at ``MAX_DEPTH`` are compared
+   whatever their size, so nothing is cut off.
 
 A hot class, node or pivot meets partial aggregations and joins that adaptive execution can
 split; only links and labels grow with it, linearly.
@@ -44,6 +48,7 @@ DEPTH = 3
 LEAF = 2048
 MAX_DEPTH = 16
 STAR_ROUNDS = 3
+FAMILY = 8192
 SKETCHES = ["s0", "s1", "s2", "s3"]
 SMALL_ROWS = 1_000_000
 
@@ -157,6 +162,54 @@ def _close(percent: int) -> Column:
     return fit & (apart <= sketch_limit(percent / 100))
 
 
+def shared_counts(sets: list[np.ndarray], rows: np.ndarray, dense_from: int = 9, columns: int = 2048) -> np.ndarray:
+    """Sizes of the intersections of the sets ``rows`` with all sets.
+
+    Shingles of few sets are counted by their lists of sets, frequent ones by a matrix product.
+    """
+    out = np.zeros((len(rows), len(sets)), dtype=np.float32)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    value = np.concatenate(sets)
+    order = np.argsort(value, kind="stable")
+    owner = owner[order]
+    starts = np.flatnonzero(np.r_[True, np.diff(value[order].view(np.int64)) != 0])
+    times = np.diff(np.r_[starts, len(owner)])
+    place = np.full(len(sets), -1)
+    place[rows] = np.arange(len(rows))
+    for n in range(1, dense_from):
+        lists = owner[starts[times == n][:, None] + np.arange(n)]
+        for k in range(n):
+            mine = place[lists[:, k]]
+            use = mine >= 0
+            for j in range(n):
+                np.add.at(out, (mine[use], lists[use, j]), 1)
+    often = np.flatnonzero(times >= dense_from)
+    for at in range(0, len(often), columns):
+        part = often[at : at + columns]
+        size = times[part]
+        every = np.zeros((len(sets), len(part)), dtype=np.float32)
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        every[owner[np.repeat(starts[part], size) + within], np.repeat(np.arange(len(part)), size)] = 1
+        out += every[rows] @ every.T
+    return out
+
+
+def family_links(sets: list[np.ndarray], components: np.ndarray, percent: int, block: int = 1024) -> list[tuple[int, int]]:
+    """One link for each row outside the largest component and each other component that it reaches."""
+    names, number, sizes = np.unique(components, return_inverse=True, return_counts=True)
+    lengths = np.array([len(s) for s in sets])
+    outside = np.flatnonzero(number != sizes.argmax())
+    links = []
+    for at in range(0, len(outside), block):
+        rows = outside[at : at + block]
+        shared = np.rint(shared_counts(sets, rows)).astype(np.int64)
+        close = (100 * shared >= percent * (lengths[rows, None] + lengths[None, :] - shared)) & (number[rows, None] != number[None, :])
+        mine, other = np.nonzero(close)
+        _, first = np.unique(mine * len(names) + number[other], return_index=True)
+        links += [(int(rows[mine[k]]), int(other[k])) for k in first]
+    return links
+
+
 class Join:
     """State of one run: representatives, texts, links and components."""
 
@@ -223,9 +276,7 @@ class Join:
         if not n:
             return False
         ids = ordered.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        if n <= SMALL_ROWS:  # checked: at most 2 * SMALL_ROWS ids; else both sides are shuffled
-            ids = F.broadcast(ids)
-        texts = self.work.table(self.docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").distinct(), self.name("texts"))
+        texts = self.texts_of(ids, n, self.name("texts"))
         left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
         size, percent = self.words, self.percent
 
@@ -244,11 +295,66 @@ class Join:
 
         kind = dict(self.docs.dtypes)["doc_id"]
         joined = ordered.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-        found = self.work.table(joined.mapInArrow(run, f"a {kind}, b {kind}").distinct(), self.name("links"))
+        self.merge(joined.mapInArrow(run, f"a {kind}, b {kind}").distinct())
         self.work.drop(self.name("texts"))
+        return True
+
+    def merge(self, links: DataFrame) -> None:
+        found = self.work.table(links, self.name("links"))
         self.links = found if self.links is None else self.links.unionByName(found)
         self.labels = contract(self.work, self.links, self.name("component"))
-        return True
+
+    def texts_of(self, ids: DataFrame, rows: int, name: str) -> DataFrame:
+        """Texts of representatives: one row a distinct ``(doc_id, text)``."""
+        if rows <= SMALL_ROWS:  # checked; else both sides are shuffled
+            ids = F.broadcast(ids)
+        return self.work.table(self.docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").distinct(), name)
+
+    def families(self, rows: DataFrame) -> None:
+        """Compare nodes exhaustively and merge what is linked."""
+        self.turn += 1
+        near = (F.col("l.node") == F.col("r.node")) & (F.col("l.component") != F.col("r.component")) & _close(self.percent)
+        close = self.work.table(rows.alias("l").join(rows.alias("r"), near, "left_semi"), self.name("close"))
+        if close.isEmpty():
+            return
+        heads = close.groupBy("node").agg(F.min("rep").alias("head"))
+        edges = close.join(heads, "node").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+        label = contract(self.work, edges, self.name("family"))
+        members = close.select("rep", "component").distinct().join(label, F.col("rep") == F.col("vertex")).select("rep", "component", F.col("label").alias("family"))
+        sized = self.work.table(members.join(members.groupBy("family").agg(F.count("*").alias("many")), "family"), self.name("members"))
+        small = sized.where(F.col("many") <= FAMILY)
+        n = small.count()
+        size, percent = self.words, self.percent
+        texts = self.texts_of(small.select(F.col("rep").alias("doc_id")), n, self.name("texts"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes, family, reps, parts, sets = WordHashes(), None, [], [], []
+
+            def links() -> pa.RecordBatch:
+                names = np.unique(np.array(parts), return_inverse=True)[1]
+                found = family_links(sets, names, percent) if len(sets) > 1 else []
+                return pa.RecordBatch.from_arrays([pa.array([reps[p[k]] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+            for batch in batches:
+                for own, rep, part, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    if own != family:
+                        if sets:
+                            yield links()
+                        family, reps, parts, sets = own, [], [], []
+                    reps.append(rep)
+                    parts.append(part)
+                    sets.append(shingle_set(tokens(text), size, hashes))
+            if sets:
+                yield links()
+
+        held = small.join(texts, F.col("rep") == F.col("doc_id")).select("family", "rep", "component", "text")
+        ordered = held.repartition("family").sortWithinPartitions("family", "rep")
+        self.merge(ordered.mapInArrow(run, "a long, b long").distinct())
+        self.work.drop(self.name("texts"))
+        if n < sized.count():
+            large = sized.where(F.col("many") > FAMILY).select(F.col("rep").alias("of"))
+            self.confirm(self.across(close.join(large, F.col("rep") == F.col("of"), "left_semi")))
+
 
     def branch(self, rows: DataFrame) -> DataFrame:
         """Children of nodes: each row goes down ``BRANCH`` tokens that the node chooses."""
@@ -266,7 +372,7 @@ class Join:
                     break
             mixed = self.unresolved(live)
             small = mixed if depth == MAX_DEPTH else mixed.where(F.col("size") <= LEAF)
-            self.confirm(self.across(small))
+            self.families(small)
             large = mixed.where(F.col("size") > LEAF)
             if depth == MAX_DEPTH or large.isEmpty():
                 break
