@@ -45,15 +45,30 @@ def valid_arguments(arguments: str, parameters: dict[str, tuple[str, bool]]) ->
 
 
 def levels(work: Workspace, edges: DataFrame) -> DataFrame:
-    """``(node, level)`` of ``edges(node, parent)`` with at most one parent a node; null on cycles."""
+    """``(node, level)`` of ``edges(node, parent)`` with at most one parent a node; null on cycles.
+
+    ``level`` counts the steps to ``parent``, an ancestor; a round joins only the nodes that still
+    have one, so short chains leave early.
+    """
     state = work.table(edges.select("node", "parent", F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("level")), "level-0")
-    n, turn = state.count(), 0
-    while (1 << turn) <= 2 * n and not state.where(F.col("parent").isNotNull()).isEmpty():
-        up = state.select(F.col("node").alias("up"), F.col("parent").alias("next"), F.col("level").alias("more"))
-        hop = state.join(up, F.col("parent") == F.col("up"), "left").select("node", F.col("next").alias("parent"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"))
+    n, turn, closed = state.count(), 0, []
+    reach = 2 * n
+    while True:
+        closed.append(state.where(F.col("parent").isNull()))
+        waiting = state.where(F.col("parent").isNotNull())
+        if (1 << turn) > reach or not (n := waiting.count()):
+            break
+        every = waiting
+        for part in closed:
+            every = every.unionByName(part)
+        up = every.select(F.col("node").alias("up"), F.col("parent").alias("next"), F.col("level").alias("more"))
+        hop = waiting.join(up, F.col("parent") == F.col("up"), "left").select("node", F.col("next").alias("parent"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"))
         turn += 1
-        state = work.table(hop, f"level-{turn}")
-    return state.select("node", F.when(F.col("parent").isNull(), F.col("level")).alias("level"))
+        state = work.table(hop, f"level-{turn}", n)
+    found = waiting.select("node", F.lit(None).cast("long").alias("level"))
+    for part in closed:
+        found = found.unionByName(part.select("node", "level"))
+    return found
 
 
 def link(work: Workspace, messages: DataFrame) -> DataFrame:
