@@ -47,7 +47,7 @@ BRANCH = 2
 DEPTH = 3
 LEAF = 2048
 MAX_DEPTH = 16
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 FAMILY = 8192
 SKETCHES = ["s0", "s1", "s2", "s3"]
 SMALL_ROWS = 1_000_000
@@ -227,7 +227,7 @@ class Join:
         self.links: DataFrame | None = None
         self.tried: DataFrame | None = None
         self.labels: DataFrame | None = None
-        self.turn = 0
+        self.turn = self.n_live = self.n_links = 0
 
     def name(self, what: str) -> str:
         return f"{what}-{self.turn}"
@@ -236,16 +236,18 @@ class Join:
     def live(self, rows: DataFrame) -> DataFrame:
         """Rows of nodes with two members or more, with the node's size."""
         shared = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        return self.work.table(rows.join(shared, "node"), self.name("live"))
+        live = self.work.table(rows.join(shared, "node"), self.name("live"))
+        self.n_live = live.count()
+        return live
 
     def unresolved(self, live: DataFrame) -> DataFrame:
         """Rows of nodes that hold several components, with the row's component."""
         if self.labels is None:
             return live.withColumn("component", F.col("rep"))
         labelled = live.join(self.labels, F.col("rep") == F.col("vertex"), "left").withColumn("component", F.coalesce("label", "rep")).drop("vertex", "label")
-        labelled = self.work.table(labelled, self.name("labelled"))
+        labelled = self.work.table(labelled, self.name("labelled"), self.n_live)
         mixed = labelled.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("node")
-        return self.work.table(labelled.join(mixed, "node", "left_semi"), self.name("mixed"))
+        return self.work.table(labelled.join(mixed, "node", "left_semi"), self.name("mixed"), self.n_live)
 
     # -- pairs ---------------------------------------------------------------------------------
     def star(self, rows: DataFrame, seed: int) -> DataFrame:
@@ -270,7 +272,7 @@ class Join:
         ordered = pairs.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).where("a != b").distinct()
         if self.tried is not None:
             ordered = ordered.join(self.tried, ["a", "b"], "left_anti")
-        ordered = self.work.table(ordered, self.name("pairs"))
+        ordered = self.work.table(ordered, self.name("pairs"), self.n_live)
         self.tried = ordered if self.tried is None else self.tried.unionByName(ordered)
         n = ordered.count()
         if not n:
@@ -295,14 +297,16 @@ class Join:
 
         kind = dict(self.docs.dtypes)["doc_id"]
         joined = ordered.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-        self.merge(joined.mapInArrow(run, f"a {kind}, b {kind}").distinct())
+        self.merge(joined.mapInArrow(run, f"a {kind}, b {kind}").distinct(), n)
         self.work.drop(self.name("texts"))
         return True
 
-    def merge(self, links: DataFrame) -> None:
+    def merge(self, links: DataFrame, rows: int) -> None:
+        """Add links, of which there are about ``rows`` at most."""
         found = self.work.table(links, self.name("links"))
         self.links = found if self.links is None else self.links.unionByName(found)
-        self.labels = contract(self.work, self.links, self.name("component"))
+        self.n_links += rows
+        self.labels = contract(self.work, self.links, self.name("component"), self.n_links)
 
     def texts_of(self, ids: DataFrame, rows: int, name: str) -> DataFrame:
         """Texts of representatives: one row a distinct ``(doc_id, text)``."""
@@ -314,14 +318,15 @@ class Join:
         """Compare nodes exhaustively and merge what is linked."""
         self.turn += 1
         near = (F.col("l.node") == F.col("r.node")) & (F.col("l.component") != F.col("r.component")) & _close(self.percent)
-        close = self.work.table(rows.alias("l").join(rows.alias("r"), near, "left_semi"), self.name("close"))
-        if close.isEmpty():
+        close = self.work.table(rows.alias("l").join(rows.alias("r"), near, "left_semi"), self.name("close"), self.n_live)
+        n_close = close.count()
+        if not n_close:
             return
         heads = close.groupBy("node").agg(F.min("rep").alias("head"))
         edges = close.join(heads, "node").select(F.col("rep").alias("a"), F.col("head").alias("b"))
-        label = contract(self.work, edges, self.name("family"))
+        label = contract(self.work, edges, self.name("family"), n_close)
         members = close.select("rep", "component").distinct().join(label, F.col("rep") == F.col("vertex")).select("rep", "component", F.col("label").alias("family"))
-        sized = self.work.table(members.join(members.groupBy("family").agg(F.count("*").alias("many")), "family"), self.name("members"))
+        sized = self.work.table(members.join(members.groupBy("family").agg(F.count("*").alias("many")), "family"), self.name("members"), n_close)
         small = sized.where(F.col("many") <= FAMILY)
         n = small.count()
         size, percent = self.words, self.percent
@@ -349,7 +354,7 @@ class Join:
 
         held = small.join(texts, F.col("rep") == F.col("doc_id")).select("family", "rep", "component", "text")
         ordered = held.repartition("family").sortWithinPartitions("family", "rep")
-        self.merge(ordered.mapInArrow(run, "a long, b long").distinct())
+        self.merge(ordered.mapInArrow(run, "a long, b long").distinct(), n)
         self.work.drop(self.name("texts"))
         if n < sized.count():
             large = sized.where(F.col("many") > FAMILY).select(F.col("rep").alias("of"))
