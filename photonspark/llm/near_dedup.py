@@ -224,7 +224,6 @@ class Join:
         mine = self.classes.select(F.col("rep").alias("doc_id"), "d0", "d1")
         reps = prints.where(full).join(mine, ["doc_id", "d0", "d1"], "left_semi")
         self.reps = self.work.table(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *SKETCHES, "signature", "nodes"), "reps")
-        self.links: DataFrame | None = None
         self.tried: DataFrame | None = None
         self.labels: DataFrame | None = None
         self.turn = self.n_live = self.n_links = 0
@@ -302,11 +301,20 @@ class Join:
         return True
 
     def merge(self, links: DataFrame, rows: int) -> None:
-        """Add links, of which there are about ``rows`` at most."""
+        """Add links, of which there are about ``rows`` at most: only they are contracted, between components."""
         found = self.work.table(links, self.name("links"))
-        self.links = found if self.links is None else self.links.unionByName(found)
         self.n_links += rows
-        self.labels = contract(self.work, self.links, self.name("component"), self.n_links)
+        if self.labels is None:
+            self.labels = contract(self.work, found, self.name("component"), rows)
+            return
+        old = self.labels
+        ends = [old.select(F.col("vertex").alias(f"v{k}"), F.col("label").alias(f"l{k}")) for k in "ab"]
+        moved = found.join(ends[0], F.col("a") == F.col("va"), "left").join(ends[1], F.col("b") == F.col("vb"), "left")
+        new = contract(self.work, moved.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), self.name("component"), rows)
+        renamed = new.select(F.col("vertex").alias("v"), F.col("label").alias("l"))
+        kept = old.join(renamed, F.col("label") == F.col("v"), "left").select("vertex", F.coalesce("l", "label").alias("label"))
+        fresh = new.join(old.select(F.col("vertex").alias("v")), F.col("vertex") == F.col("v"), "left_anti")
+        self.labels = self.work.table(kept.unionByName(fresh), self.name("labels"), 2 * self.n_links)
 
     def texts_of(self, ids: DataFrame, rows: int, name: str) -> DataFrame:
         """Texts of representatives: one row a distinct ``(doc_id, text)``."""
