@@ -23,3 +23,9 @@ def test_components_of_all_frames(spark, duck):
     assert {frame for frame, _, _ in got} - set(range(8))
     assert got == sorted(duck.sql(oracle.COMPONENTS.replace("frame < 8 AND ", "")).fetchall())
     assert [x for x in got if x[0] < 8] == sorted(duck.sql(oracle.COMPONENTS).fetchall())
+
+
+def test_frame_sync_of_all_rows(spark, duck):
+    got = sorted(map(tuple, catalogue.QUERIES["j1_frame_sync"](spark, SMALL).select("idx", "frame_number").collect()))
+    assert got == sorted(duck.sql(oracle.SYNC.replace(" WHERE l_partkey % 4 <> 0", "")).fetchall())
+    assert got != sorted(duck.sql(oracle.SYNC).fetchall())
