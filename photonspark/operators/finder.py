@@ -159,14 +159,14 @@ def label_components(mask: np.ndarray) -> np.ndarray:
 
 
 def hits_of(image: np.ndarray, threshold: float) -> list[dict]:
-    """Hits of connected pixels above the threshold; size, energy and maximum stop at ``MAX_HIT_PIXELS`` pixels in raster order."""
+    """Hits of connected pixels above the threshold; size, energy and maximum stop at ``MAX_HIT_PIXELS`` pixels in raster order; ``pixels`` counts all."""
     labels = label_components(image > threshold)
     out = []
     for k in range(1, labels.max(initial=0) + 1):
         rows, cols = (a[:MAX_HIT_PIXELS] for a in np.nonzero(labels == k))
         values = image[rows, cols]
         top = int(values.argmax())
-        out.append({"size": len(rows), "row": int(rows[top]), "col": int(cols[top]), "energy": float(values.sum()), "max": float(values[top]), "rows": rows.tolist(), "cols": cols.tolist(), "enes": values.astype(float).tolist()})
+        out.append({"pixels": int((labels == k).sum()), "size": len(rows), "row": int(rows[top]), "col": int(cols[top]), "energy": float(values.sum()), "max": float(values[top]), "rows": rows.tolist(), "cols": cols.tolist(), "enes": values.astype(float).tolist()})
     return out
 
 
@@ -201,7 +201,7 @@ def flood_hits(image: np.ndarray, threshold: float | None = None, noise: np.ndar
     return out
 
 
-HIT = "frame long, size int, row int, col int, energy double, max double, rows array<int>, cols array<int>, enes array<double>"
+HIT = "frame long, size int, row int, col int, energy double, max double, rows array<int>, cols array<int>, enes array<double>, pixels int"
 
 
 def variable_clusters(frames: DataFrame, shape: tuple[int, int], threshold: float, flood: bool = False, neighbours: int = 8) -> DataFrame:
@@ -214,7 +214,7 @@ def variable_clusters(frames: DataFrame, shape: tuple[int, int], threshold: floa
             for number, data in zip(batch["frame"], batch["data"]):
                 image = np.asarray(data).reshape(shape)
                 found = flood_hits(image, threshold, neighbours=neighbours) if flood else hits_of(image, threshold)
-                rows += [{"frame": number} | h for h in found]
+                rows += [{"frame": number, "pixels": h["size"]} | h for h in found]
             yield pd.DataFrame(rows, columns=names)
 
     return frames.select("frame", "data").mapInPandas(run, HIT)

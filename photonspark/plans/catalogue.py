@@ -384,12 +384,12 @@ def g4_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = finder.pack(img(spark, sf_dir), ROWS, COLS)
     found = finder.variable_clusters(frames, (ROWS, COLS), 15000)
     first = F.array_min(F.zip_with("rows", "cols", lambda r, c: r * COLS + c)).cast("long")
-    return found.select("frame", first.alias("label"), F.col("size").cast("long").alias("size"))
+    return found.select("frame", first.alias("label"), F.col("pixels").cast("long").alias("size"))
 
 
 @query
 def g5_floodfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finder.variable_clusters(finder.pack(img(spark, sf_dir), ROWS, COLS), (ROWS, COLS), 15000, flood=True, neighbours=4)
+    return finder.variable_clusters(finder.pack(img(spark, sf_dir), ROWS, COLS), (ROWS, COLS), 15000, flood=True, neighbours=4).drop("pixels")
 
 
 # -- fits ------------------------------------------------------------------------------------------
