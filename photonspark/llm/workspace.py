@@ -22,6 +22,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 ROWS_PER_FILE = 250_000
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,18 +30,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where none is configured (tests)."""
+    """The cluster's shared folder; a temporary one is set only in local mode where none is configured (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             root = held.get()
-        else:
+        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
             root = "file://" + tempfile.mkdtemp(prefix="photonspark-")
             spark.sparkContext.setCheckpointDir(root)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return root.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes that go to a Python worker at once; a batch lies in both processes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -56,6 +64,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/photonspark/{label}-{uuid.uuid4().hex}"
+        small_batches(spark)
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
@@ -66,7 +75,7 @@ class Workspace:
         it can fill (and at least the cluster's parallelism), however many shuffle partitions there are."""
         if rows is not None:
             df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE)))
-        df.write.mode("overwrite").parquet(self.path(name))
+        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -82,6 +91,7 @@ class Workspace:
 
 def per_row(df: DataFrame, columns: list[str], schema: str, kernel: Callable[[dict[str, list]], dict[str, list]], rows: int = 1024) -> DataFrame:
     """Apply ``kernel`` to lists of the named columns, a bounded block of rows at a time."""
+    small_batches(df.sparkSession)
     names = [part.split()[0] for part in schema.split(",")]
     out = StructType.fromDDL(schema)
 
