@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from photonspark.operators.small import checked_broadcast
+
 #: Fixed values of chips: first column of each ADC's strip, ADC wiring of two chip generations.
 MOENCH03_COLUMNS = (300, 325, 350, 375, 300, 325, 350, 375, 200, 225, 250, 275, 200, 225, 250, 275, 100, 125, 150, 175, 100, 125, 150, 175, 0, 25, 50, 75, 0, 25, 50, 75)
 MOENCH04_ADC = (9, 8, 11, 10, 13, 12, 15, 14, 1, 0, 3, 2, 5, 4, 7, 6, 23, 22, 21, 20, 19, 18, 17, 16, 31, 30, 29, 28, 27, 26, 25, 24)
@@ -68,14 +70,19 @@ def matterhorn10(spark: SparkSession, dynamic_range: int, counters: int) -> Data
 
 
 def gather(pixels: DataFrame, pixel_map: DataFrame, position: str = "pos") -> DataFrame:
-    """``out[row, col] = in[src_index]``: the map is bounded by the detector and broadcast."""
-    return pixels.join(F.broadcast(pixel_map), F.col(position) == F.col("src_index")).drop("src_index")
+    """``out[row, col] = in[src_index]``: the map is broadcast if it has no more rows than a detector has pixels."""
+    return pixels.join(checked_broadcast(pixel_map), F.col(position) == F.col("src_index")).drop("src_index")
+
+
+def module_places(geometry: tuple[int, int], udp: tuple[int, int] = (1, 1), quad: bool = False) -> list[tuple[int, int]]:
+    """(row index, column index) of every module in read-out order; geometry and udp are (rows, cols)."""
+    order = [(r + pr, c + pc) for c in range(0, geometry[1], udp[1]) for r in range(0, geometry[0], udp[0]) for pr in range(udp[0]) for pc in range(udp[1])]
+    return [((r + 1) % 2 if quad else r, c) for r, c in order]
 
 
 def modules(spark: SparkSession, geometry: tuple[int, int], px: int, py: int, udp: tuple[int, int] = (1, 1), quad: bool = False) -> DataFrame:
     """One row a module in read-out order; geometry and udp are (rows, cols)."""
-    order = [(r + pr, c + pc) for c in range(0, geometry[1], udp[1]) for r in range(0, geometry[0], udp[0]) for pr in range(udp[0]) for pc in range(udp[1])]
-    places = [(i, (r + 1) % 2 if quad else r, c) for i, (r, c) in enumerate(order)]
+    places = [(i, r, c) for i, (r, c) in enumerate(module_places(geometry, udp, quad))]
     df = spark.createDataFrame(places, "module long, row_index long, col_index long")
     return df.select("module", (F.col("col_index") * px).alias("origin_x"), (F.col("row_index") * py).alias("origin_y"), F.lit(py).cast("long").alias("height"), F.lit(px).cast("long").alias("width"), "row_index", "col_index")
 

@@ -42,6 +42,18 @@ def words(frames: DataFrame, chip: str, mask: int = 0xFFFF) -> DataFrame:
     return transform(frames, lambda b: np.frombuffer(b, "<u2")[at] & mask)
 
 
+def adc_sar(frames: DataFrame, bits: tuple[int, ...]) -> DataFrame:
+    """ADC values of frames of 64-bit words: bit i of a value is bit ``bits[i]`` of its word (``functions.decode`` has the orders)."""
+
+    def decode(raw: bytes) -> np.ndarray:
+        if len(raw) % 8:
+            raise ValueError(f"a frame of {len(raw)} bytes has no whole 64-bit words")
+        word = np.frombuffer(raw, "<u8")
+        return sum(((word >> np.uint64(b)) & np.uint64(1)) << np.uint64(i) for i, b in enumerate(bits))
+
+    return transform(frames, decode)
+
+
 def matterhorn10(frames: DataFrame, dynamic_range: int = 16, counters: int = 1) -> DataFrame:
     """(counters, 256, 256) values of 16, 8 or 4 bits."""
     at = map_array(geometry.matterhorn10(frames.sparkSession, dynamic_range, counters))

@@ -1,8 +1,9 @@
 """Cluster files as a data source: repeat {int32 frame, uint32 n, n aligned cluster structs}.
 
-Options: ``sx``, ``sy`` (default 3), ``dtype`` (default ``i4``), ``paths`` as the load path. Headers are
-walked once on the driver (8 bytes a frame), then runs of frames become partitions. Predicates on
-``frame_number`` choose frames at planning; regions on x and y are applied by Spark.
+Options: ``sx``, ``sy`` (default 3), ``dtype`` (default ``i4``), ``paths`` as the load path. A file is a
+partition, and its task walks the headers; only files of over ``SPLIT_BYTES`` are walked at planning,
+to be cut between frames. Frames that predicates on ``frame_number`` rule out are skipped by their
+length; regions on x and y are applied by Spark.
 The writer makes one file a partition in frame order; frames of one file are whole.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from photonspark.sources.files import Bounds, packed, resolve
 
-CLUSTERS_PER_TASK = 1_000_000
+SPLIT_BYTES = 256 << 20
 
 
 def cluster_dtype(sx: int, sy: int, kind: str) -> np.dtype:
@@ -30,10 +31,12 @@ def cluster_dtype(sx: int, sy: int, kind: str) -> np.dtype:
 
 
 @dataclass
-class Frames(InputPartition):
+class Part(InputPartition):
+    """Whole frames between two bytes of a file."""
+
     path: str
     start: int
-    frames: list[tuple[int, int]]
+    end: int
 
 
 class ClusterReader(DataSourceReader):
@@ -43,48 +46,46 @@ class ClusterReader(DataSourceReader):
     def pushFilters(self, filters):
         return self.bounds.push(filters)
 
-    def _files(self) -> list[str]:
+    def _files(self) -> list[tuple[str, int]]:
         from pyarrow import fs
 
         system, root = resolve(self.path)
         info = system.get_file_info(root)
         if info.type == fs.FileType.Directory:
-            return sorted(x.path for x in system.get_file_info(fs.FileSelector(root)) if x.is_file and x.path.endswith(".clust"))
-        return [root]
-
-    def partitions(self) -> list[Frames]:
-        system, _ = resolve(self.path)
+            return sorted((x.path, x.size) for x in system.get_file_info(fs.FileSelector(root)) if x.is_file and x.path.endswith(".clust"))
+        return [(root, info.size)]
+
+    def headers(self, source, name: str, at: int, end: int) -> Iterator[tuple[int, int, int]]:
+        """(byte after the header, frame number, clusters) of every frame; leaves the source after the header."""
+        while at < end:
+            source.seek(at)
+            head = source.read(8)
+            if len(head) < 8:
+                raise OSError(f"{name} ends inside a header")
+            frame, n = struct.unpack("<iI", head)
+            if (after := at + 8 + n * self.dtype.itemsize) > end:
+                raise OSError(f"{name} ends inside a frame")
+            yield at + 8, frame, n
+            at = after
+
+    def partitions(self) -> list[Part]:
         out = []
-        for name in self._files():
-            with system.open_input_file(name) as source:
-                at, end, held = 0, source.size(), None
-                while at < end:
-                    source.seek(at)
-                    head = source.read(8)
-                    if len(head) < 8:
-                        raise OSError(f"{name} ends inside a header")
-                    frame, n = struct.unpack("<iI", head)
-                    wanted = self.bounds.cut(frame, 1)[1]
-                    if wanted:
-                        if held is None or sum(k for _, k in held.frames) + n > CLUSTERS_PER_TASK:
-                            out.append(held := Frames(name, at, []))
-                        held.frames.append((frame, n))
-                    else:
-                        held = None
-                    at += 8 + n * self.dtype.itemsize
-                if at != end:
-                    raise OSError(f"{name} ends inside a frame")
-        return out or [Frames("", 0, [])]
-
-    def read(self, part: Frames) -> Iterator[pa.RecordBatch]:
-        if not part.frames:
+        for name, size in self._files():
+            cuts = [0]
+            if size > SPLIT_BYTES:
+                with resolve(self.path)[0].open_input_file(name) as source:
+                    for at, _, _ in self.headers(source, name, 0, size):
+                        if at - 8 - cuts[-1] >= SPLIT_BYTES:
+                            cuts.append(at - 8)
+            out += [Part(name, a, b) for a, b in zip(cuts, [*cuts[1:], size]) if a < b]
+        return out or [Part("", 0, 0)]
+
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        if not part.path:
             return
-        system, _ = resolve(self.path)
-        with system.open_input_file(part.path) as source:
-            source.seek(part.start)
-            for frame, n in part.frames:
-                source.read(8)
-                for at in range(0, n, 65_536):
+        with resolve(self.path)[0].open_input_file(part.path) as source:
+            for _, frame, n in self.headers(source, part.path, part.start, part.end):
+                for at in range(0, n if self.bounds.holds(frame) else 0, 65_536):
                     rows = np.frombuffer(source.read(min(65_536, n - at) * self.dtype.itemsize), dtype=self.dtype)
                     columns = [pa.array(np.full(len(rows), frame, np.int32)), pa.array(rows["x"].astype(np.int32)), pa.array(rows["y"].astype(np.int32)), packed(rows["data"].astype(np.float64))]
                     yield pa.RecordBatch.from_arrays(columns, names=["frame_number", "x", "y", "data"])

@@ -13,6 +13,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from photonspark.operators.geometry import clip_to_roi, modules
+from photonspark.operators.geometry import clip_to_roi, module_places, modules
 from photonspark.operators.small import checked_broadcast
 from photonspark.sources.files import Bounds, blocks, packed, read_bytes, size_of
 from photonspark.sources.metadata import CTB, FileName, Master, _version, read_master
@@ -100,6 +101,7 @@ class RawReader(FrameReader):
         m = self.master
         self.pixels = np.dtype(DTYPES[m.bitdepth])
         self.record = HEADER.itemsize + m.pixels_x * m.pixels_y * self.pixels.itemsize
+        self.places = module_places((m.geometry_row, m.geometry_col), (m.udp_row, m.udp_col), bool(m.quad))
 
     def files(self) -> Iterator[tuple[str, int, int, int]]:
         for module in range(self.master.geometry_row * self.master.geometry_col):
@@ -109,8 +111,8 @@ class RawReader(FrameReader):
                 file, first = file + 1, first + size // self.record
 
     def flipped(self, module: int) -> bool:
-        """Half modules of an Eiger in even rows are read upside down."""
-        return self.master.detector_type == "Eiger" and module % self.master.geometry_row % 2 == 0
+        """Half modules of an Eiger in even rows of the detector are read upside down."""
+        return self.master.detector_type == "Eiger" and self.places[module][0] % 2 == 0
 
     def decode(self, raw: bytes, run: Run, index: np.ndarray) -> pa.RecordBatch:
         m = self.master
@@ -282,6 +284,14 @@ def stitched(spark: SparkSession, path: str, roi: tuple[int, int, int, int] | No
     return px.select("frame_number", row.cast("long").alias("row"), col.cast("long").alias("col"), "value").where(F.col("row").between(0, y1 - y0 - 1) & F.col("col").between(0, x1 - x0 - 1))
 
 
+def stitched_rois(spark: SparkSession, path: str, rois: list[tuple[int, int, int, int]]) -> DataFrame:
+    """``(roi, frame_number, row, col, value)`` of several regions; a pixel in two regions is in both."""
+    if not rois:
+        raise ValueError("no region is given")
+    parts = [stitched(spark, path, roi).select(F.lit(k).alias("roi"), "*") for k, roi in enumerate(rois)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def load_calibration(spark: SparkSession, path: str, hg0: bool = False, shape: tuple[int, int] = (512, 1024)) -> DataFrame:
     """(gain, row, col, cal) of float64 planes; ``hg0`` takes gain 0 from the fourth plane."""
     register_size = shape[0] * shape[1]

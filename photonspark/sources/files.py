@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -49,29 +50,29 @@ class Bounds:
     """A range of one integer column that pushed-down predicates narrow; Spark still applies them."""
 
     def __init__(self, column: str):
-        self.column, self.low, self.high, self.chosen = column, 0, None, None
+        self.column, self.low, self.high = column, -math.inf, math.inf
 
     def push(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             if getattr(f, "attribute", None) == (self.column,):
                 v = getattr(f, "value", None)
                 if isinstance(f, EqualTo):
-                    self.low, self.high = max(self.low, v), v if self.high is None else min(self.high, v)
+                    self.low, self.high = max(self.low, v), min(self.high, v)
                 elif isinstance(f, GreaterThan | GreaterThanOrEqual):
                     self.low = max(self.low, v + isinstance(f, GreaterThan))
                 elif isinstance(f, LessThan | LessThanOrEqual):
-                    top = v - isinstance(f, LessThan)
-                    self.high = top if self.high is None else min(self.high, top)
+                    self.high = min(self.high, v - isinstance(f, LessThan))
                 elif isinstance(f, In):
-                    self.low, top = max(self.low, min(f.value)), max(f.value)
-                    self.high = top if self.high is None else min(self.high, top)
+                    self.low, self.high = max(self.low, min(f.value)), min(self.high, max(f.value))
             yield f
 
+    def holds(self, value: int) -> bool:
+        return self.low <= value <= self.high
+
     def cut(self, first: int, count: int) -> tuple[int, int]:
         """The part of [first, first + count) inside the range, as (first, count)."""
         low = max(first, self.low)
-        end = first + count if self.high is None else min(first + count, self.high + 1)
-        return low, max(0, end - low)
+        return low, max(0, min(first + count, self.high + 1) - low)
 
 
 def widen(a: np.ndarray) -> np.ndarray:

@@ -126,7 +126,7 @@ def test_cluster_files(spark, tmp_path):
     assert read.where("frame_number = 135 AND x >= 0 AND x < 50 AND y >= 200 AND y < 249").count() == 49
     reader = clust.ClusterReader(str(tmp_path / "c"), clust.cluster_dtype(3, 3, "i4"))
     list(reader.pushFilters([detector_filter("frame_number", 8)]))
-    assert [f for p in reader.partitions() for f in p.frames] == [(8, 1)]
+    assert [f for p in reader.partitions() for b in reader.read(p) for f in b.column("frame_number").to_pylist()] == [8]
     doubles = spark.createDataFrame([(f, 10 + k, 20, [float(i) for i in range(4)]) for f in (0, 1) for k in range(4)], "frame_number int, x int, y int, data array<double>")
     clust.write_clusters(doubles, str(tmp_path / "d"), 2, 2, "f8")
     assert sum(p.stat().st_size for p in (tmp_path / "d").glob("*.clust")) == 2 * (8 + 4 * 40)
@@ -178,3 +178,41 @@ def test_streams_match_batch(spark, tmp_path):
     query.awaitTermination(120)
     batch = folds.tracking_histogram(pixels, "raw", "is_pedestal", ["seq"], 32, -16.0, 16.0)
     assert sorted(map(tuple, spark.table("tracked").collect())) == sorted(map(tuple, batch.collect()))
+
+
+@pytest.mark.parametrize(("kind", "more", "upside_down"), [("Eiger", {"Quad": 1, "Geometry": {"x": 2, "y": 2}}, [False, False, True, True]), ("Eiger", {"Geometry": {"x": 2, "y": 2}}, [True, True, False, False]), ("Eiger", {"Geometry": {"x": 4, "y": 1}}, [True] * 4), ("Jungfrau", {}, [False, False])])
+def test_eiger_modules_in_even_rows_are_flipped(spark, tmp_path, kind, more, upside_down):
+    """The row of a module comes from the geometry: a quad swaps rows, two UDP columns stand side by side."""
+    path = master(tmp_path, kind, **more)
+    image = np.arange(32, dtype="<u2").reshape(4, 8)
+    for module in range(len(upside_down)):
+        (tmp_path / f"run_d{module}_f0_0.raw").write_bytes(header(1) + image.tobytes())
+    got = {r["module"]: r["data"] for r in detector.detector(spark, path).collect()}
+    assert [got[m] == image[::-1].ravel().tolist() for m in range(len(upside_down))] == upside_down
+    assert all(got[m] in (image.ravel().tolist(), image[::-1].ravel().tolist()) for m in got)
+
+
+def test_negative_frame_numbers_and_split_files(spark, tmp_path, monkeypatch):
+    rows = [(f, 1, 2, [float(f)] * 9) for f in range(-6, 6) for _ in range(3)]
+    clust.write_clusters(spark.createDataFrame(rows, "frame_number int, x int, y int, data array<double>").coalesce(1), str(tmp_path / "c"))
+    clust.register(spark)
+    read = spark.read.format("clusters").load(str(tmp_path / "c"))
+    assert sorted(r["frame_number"] for r in read.collect()) == sorted(r[0] for r in rows)
+    assert read.where("frame_number < -3").count() == 9 and read.where("frame_number IN (-6, 5)").count() == 6
+    monkeypatch.setattr(clust, "SPLIT_BYTES", 300)
+    reader = clust.ClusterReader(str(tmp_path / "c"), clust.cluster_dtype(3, 3, "i4"))
+    parts = reader.partitions()
+    assert len(parts) > 3 and sum(b.num_rows for p in parts for b in reader.read(p)) == len(rows)
+    broken = next((tmp_path / "c").glob("*.clust"))
+    broken.write_bytes(broken.read_bytes()[:-1])
+    with pytest.raises(OSError, match="ends inside"):
+        [b for p in reader.partitions() for b in reader.read(p)]
+
+
+def test_adc_sar_of_board_frames(spark):
+    from photonspark.functions import decode
+    from photonspark.operators import transforms
+
+    word = sum(1 << b for b in decode.SAR_04[:3])
+    frames = spark.createDataFrame([(0, struct.pack("<2Q", word, 1 << decode.SAR_04[11]))], "frame_index long, bytes binary")
+    assert transforms.adc_sar(frames, decode.SAR_04).first()["data"] == [7, 1 << 11]
