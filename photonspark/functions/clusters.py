@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photonspark.functions.decode import safe_divide
+from photonspark.operators.small import LOOKUP_ROWS, bounded_broadcast
 
 TL, TR, BL, BR = range(4)
 
@@ -154,25 +155,34 @@ def in_roi(x: Column, y: Column, roi: tuple[int, int, int, int]) -> Column:
     return (x >= xmin) & (x < xmax) & (y >= ymin) & (y < ymax)
 
 
-def noise_cut(clusters: DataFrame, noise: DataFrame, shape: Shape) -> DataFrame:
-    """Clusters whose center, best 2x2 block and total exceed one, two and three times the noise at (y, x)."""
+def noise_cut(clusters: DataFrame, noise: DataFrame, shape: Shape, n_pixels: int | None = None) -> DataFrame:
+    """Clusters whose center, best 2x2 block and total exceed one, two and three times the noise at (y, x).
+
+    A cluster where the map has no value has no limit to exceed and is left out. ``n_pixels``: the most rows the map can have.
+    """
     data = F.col("data")
-    joined = clusters.join(noise.select(F.col("row").alias("y"), F.col("col").alias("x"), F.col("noise").alias("_n")), ["x", "y"])
+    lookup = noise.select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.col("noise").alias("_n"))
+    joined = clusters.join(bounded_broadcast(lookup, n_pixels), (F.col("y") == F.col("_row")) & (F.col("x") == F.col("_col")))
     n = F.col("_n")
     return joined.where((data[shape.center] > n) & (max_sum_2x2(data, shape)["sum"] > 2 * n) & (total(data) > 3 * n)).select(*clusters.columns)
 
 
-def gain_map(clusters: DataFrame, gains: DataFrame, shape: Shape, rows: int, cols: int, key: str, kind: str = "bigint") -> DataFrame:
+def gain_map(clusters: DataFrame, gains: DataFrame, shape: Shape, rows: int, cols: int, kind: str = "bigint") -> DataFrame:
     """Multiply each pixel by the inverse gain at its place and cast (integers truncate); clusters that touch the border become zeros.
 
-    One join a pixel offset would multiply joins, so pixels are exploded, joined on (row, col) and put back in order.
+    The map, at most rows * cols values, becomes one array, so a cluster is one projection and no row is shuffled;
+    all columns of ``clusters`` stay. A pixel without a gain becomes 0.
     """
+    if rows * cols > LOOKUP_ROWS:
+        raise ValueError(f"a gain map has at most {LOOKUP_ROWS} pixels")
     hx, hy = shape.sx // 2, shape.sy // 2
-    flat = clusters.select(key, "x", "y", F.posexplode("data").alias("pos", "v"))
-    flat = flat.withColumn("row", (F.col("y") + F.floor(F.col("pos") / shape.sx) - hy).cast("long")).withColumn("col", (F.col("x") + F.col("pos") % shape.sx - hx).cast("long"))
+    place = (F.col("row") * cols + F.col("col")).cast("long")
+    inside = F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1)
+    given = gains.where(inside).groupBy(place.alias("place")).agg(F.max(F.lit(1.0) / F.col("gain")).alias("inverse"))
+    every = gains.sparkSession.range(rows * cols).join(given, F.col("id") == F.col("place"), "left")
+    inverse = every.agg(F.array_sort(F.collect_list(F.struct("id", "inverse"))).alias("m")).select(F.transform("m", lambda p: p["inverse"])).scalar()
     border = (F.col("x") < hx) | (F.col("y") < hy) | (F.col("x") >= cols - hx) | (F.col("y") >= rows - hy)
-    inverse = gains.select("row", "col", (F.lit(1.0) / F.col("gain")).alias("inverse"))
-    scaled = flat.join(inverse, ["row", "col"], "left").withColumn("v", F.when(border | F.col("inverse").isNull(), F.lit(0)).otherwise(F.col("v") * F.col("inverse")).cast(kind))
-    # a cluster has sx * sy pixels, so the list is bounded
-    back = scaled.groupBy(key, "x", "y").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("s"))
-    return back.select(key, "x", "y", F.transform("s", lambda p: p["v"]).alias("data"))
+    at = lambda i: ((F.col("y") + (i // shape.sx - hy)) * cols + F.col("x") + (i % shape.sx - hx)).cast("int")
+    scaled = [F.coalesce((F.col("data")[i] * F.get(inverse, at(i))).cast(kind), F.lit(0).cast(kind)) for i in range(shape.sx * shape.sy)]
+    zeros = [F.lit(0).cast(kind)] * (shape.sx * shape.sy)
+    return clusters.withColumn("data", F.when(border, F.array(*zeros)).otherwise(F.array(*scaled)))

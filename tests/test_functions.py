@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from photonspark.functions import clusters, decode, models, search
 from photonspark.functions.clusters import Shape
+from photonspark.operators import calibration
 
 
 def one(spark, column, **values):
@@ -120,7 +121,7 @@ def test_eta_2x2_and_reductions(spark):
 def test_clusters_with_maps(spark):
     cv = spark.createDataFrame([(0, 1, 1, [1] * 9), (1, 0, 1, [1] * 9), (2, 3, 3, [10, 10, 10, 10, 30, 10, 10, 10, 10])], "id long, x long, y long, data array<int>")
     gains = spark.createDataFrame([(r, c, 2.0) for r in range(10) for c in range(10)], "row long, col long, gain double")
-    got = {r["id"]: r["data"] for r in clusters.gain_map(cv, gains, Shape(3, 3), 10, 10, "id").collect()}
+    got = {r["id"]: r["data"] for r in clusters.gain_map(cv, gains, Shape(3, 3), 10, 10).collect()}
     assert got == {0: [0] * 9, 1: [0] * 9, 2: [5, 5, 5, 5, 15, 5, 5, 5, 5]}
     noise = spark.createDataFrame([(r, c, 25) for r in range(5) for c in range(5)], "row long, col long, noise int")
     assert [r["id"] for r in clusters.noise_cut(cv, noise, Shape(3, 3)).collect()] == [2]
@@ -139,3 +140,14 @@ def test_models_agree_with_numpy(spark):
         want = MODELS[name].f(np.array([2.5]), np.array([p]))[0, 0]
         assert one(spark, f(F.lit(2.5), [F.lit(v) for v in p])) == pytest.approx(want, rel=1e-9)
     assert one(spark, models.gaussian(F.lit(1.0), [F.lit(v) for v in (2.0, 0.0, 1.0)])) == pytest.approx(2 * math.exp(-0.5))
+
+
+def test_gain_map_keeps_clusters_apart(spark):
+    """Clusters that share a key, or are equal, stay rows of their own, with all their columns."""
+    rows = [(1, 4, 4, "a"), (1, 4, 4, "b"), (1, 0, 4, "edge"), (2, 9, 9, "out")]
+    cv = spark.createDataFrame([(k, x, y, n, list(range(1, 10))) for k, x, y, n in rows], "id long, x long, y long, note string, data array<long>")
+    gains = calibration.grid(spark, 10, 10).withColumn("gain", F.when((F.col("row") == 3) & (F.col("col") == 3), F.lit(0.25)).otherwise(F.lit(0.5))).where("NOT (row = 5 AND col = 5)")
+    got = {r["note"]: (r["id"], r["x"], r["y"], r["data"]) for r in clusters.gain_map(cv, gains, Shape(3, 3), 10, 10).collect()}
+    scaled = [4, 4, 6, 8, 10, 12, 14, 16, 0]
+    assert got == {"a": (1, 4, 4, scaled), "b": (1, 4, 4, scaled), "edge": (1, 0, 4, [0] * 9), "out": (2, 9, 9, [0] * 9)}
+    assert "Exchange hashpartitioning(id" not in clusters.gain_map(cv, gains, Shape(3, 3), 10, 10)._jdf.queryExecution().toString()
