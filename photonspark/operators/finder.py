@@ -1,9 +1,9 @@
-"""Photon cluster finding.
+"""Photon cluster finding on packed frames ``(frame, data)``.
 
-``frozen_clusters`` is the set form: the pedestal does not change within a frame, and the window of
-each pixel is an explode of offsets with one equi-aggregation. ``Finder`` is the exact sequential
-form that updates the pedestal while it scans; ``exact_clusters`` runs one finder for each shard
-(frame number modulo shards), as independent finders on a thread pool would.
+``frozen_clusters`` is the set form: the pedestal does not change, so frames are independent and each
+is one pass of array operations over shifted windows, without a shuffle. ``Finder`` is the exact
+sequential form that updates the pedestal while it scans; ``exact_clusters`` runs one finder for each
+shard (frame number modulo shards), as independent finders on a thread pool would.
 ``variable_clusters`` labels connected pixels above a threshold, frame by frame.
 """
 
@@ -14,43 +14,72 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonspark.operators.small import bounded_broadcast
+from photonspark.operators.small import LOOKUP_ROWS
 
 MAX_HIT_PIXELS = 50
+CLUSTERS = "frame long, x int, y int, data array<long>"
 
 
-def frozen_clusters(frames: DataFrame, pedestal: DataFrame, n_sigma: float = 5.0, sx: int = 3, sy: int = 3, n_pixels: int | None = None) -> DataFrame:
+def image_of(pixels: DataFrame, shape: tuple[int, int], *columns: str) -> list[np.ndarray]:
+    """Columns of ``pixels(row, col, ...)`` as images on the driver; NaN where there is none. Bounded by the detector."""
+    if shape[0] * shape[1] > LOOKUP_ROWS:
+        raise ValueError(f"a detector has at most {LOOKUP_ROWS} pixels")
+    inside = F.col("row").between(0, shape[0] - 1) & F.col("col").between(0, shape[1] - 1)
+    # one row a pixel, whatever is given
+    once = pixels.where(inside).groupBy("row", "col").agg(*(F.max(c).cast("double").alias(c) for c in columns))
+    found = once.toArrow()
+    at = found.column("row").to_numpy().astype(int), found.column("col").to_numpy().astype(int)
+    images = [np.full(shape, np.nan) for _ in columns]
+    for image, name in zip(images, columns):
+        image[at] = found.column(name).to_numpy()
+    return images
+
+
+def half_up(v: np.ndarray) -> np.ndarray:
+    return (np.sign(v) * np.floor(np.abs(v) + 0.5)).astype(np.int64)
+
+
+def photons(image: np.ndarray, mean: np.ndarray, rms: np.ndarray, n_sigma: float, sx: int, sy: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and windows of the pixels that hold their window's maximum in a window that passes."""
+    hx, hy = sx // 2, sy // 2
+    known = ~np.isnan(mean)
+    micro = np.floor((image - np.where(known, mean, 0)) * 1_000_000 + 0.5).astype(np.int64)
+    wide = np.pad(np.where(known, micro, 0), ((hy, hy), (hx, hx)))
+    rows, cols = image.shape
+    shifted = [wide[hy + dy : hy + dy + rows, hx + dx : hx + dx + cols] for dy in range(-hy, hy + sy % 2) for dx in range(-hx, hx + sx % 2)]
+    most, total = np.zeros((rows, cols), dtype=np.int64), np.zeros((rows, cols), dtype=np.int64)
+    for part in shifted:
+        np.maximum(most, part, out=most)
+        total += part
+    limit = rms * (n_sigma * 1_000_000)
+    hit = known & (micro >= -limit) & (micro == most) & ((most > limit) | (total > math.sqrt(sx * sy) * limit))
+    r, c = np.nonzero(hit)
+    return r, c, half_up(np.stack([part[r, c] for part in shifted], axis=1) / 1_000_000)
+
+
+def frozen_clusters(frames: DataFrame, pedestal: DataFrame, shape: tuple[int, int], n_sigma: float = 5.0, sx: int = 3, sy: int = 3) -> DataFrame:
     """(frame, x, y, data): pixels that hold their window's maximum in a window that passes.
 
-    ``frames(frame, row, col, value)``, ``pedestal(row, col, mean, std)``. Residuals are whole
-    micro-units, so sums do not depend on their order. Pixels outside the image count as 0.
-    ``n_pixels``: the detector's pixels, i.e. the most rows the pedestal can have.
+    ``frames(frame, data)`` packed, ``pedestal(row, col, mean, std)``. Residuals are whole micro-units,
+    so sums do not depend on their order. Pixels outside the image, or without a pedestal, count as 0
+    in the windows of others.
     """
-    hx, hy = sx // 2, sy // 2
-    c3 = math.sqrt(sx * sy)
-    micro = F.floor((F.col("value") - F.col("mean")) * 1_000_000 + 0.5).cast("long")
-    px = frames.join(bounded_broadcast(pedestal, n_pixels), ["row", "col"]).select("frame", "row", "col", micro.alias("v"), F.col("std").alias("rms"))
-    offsets = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-hy, hy + sy % 2) for dx in range(-hx, hx + sx % 2)))
-    spread = px.select("*", F.explode(offsets).alias("o"))
-    # a pixel's value reaches the windows around it: the window's center is the pixel minus the offset
-    window = spread.select("frame", (F.col("row") - F.col("o.dy")).alias("row"), (F.col("col") - F.col("o.dx")).alias("col"), F.col("o.dy").alias("dy"), F.col("o.dx").alias("dx"), "v", "rms")
-    center = (F.col("dy") == 0) & (F.col("dx") == 0)
-    found = window.groupBy("frame", "row", "col").agg(
-        F.max(F.when(center, F.col("v"))).alias("v"),
-        F.max(F.when(center, F.col("rms"))).alias("rms"),
-        F.greatest(F.max("v"), F.lit(0)).alias("most"),
-        F.sum("v").alias("total"),
-        F.collect_list(F.struct("dy", "dx", "v")).alias("near"),  # at most sx * sy values
-    )
-    limit = F.col("rms") * (n_sigma * 1_000_000)
-    photon = (F.col("v") >= -limit) & (F.col("v") == F.col("most")) & ((F.col("most") > limit) | (F.col("total") > c3 * limit))
-    near = F.map_from_entries(F.transform("near", lambda n: F.struct((n["dy"] * 100 + n["dx"]).alias("k"), n["v"].alias("v"))))
-    place = lambda dy, dx: F.coalesce(F.try_element_at(near, F.lit(dy * 100 + dx)), F.lit(0))
-    data = F.array(*(F.round(place(dy, dx) / 1_000_000).cast("long") for dy in range(-hy, hy + sy % 2) for dx in range(-hx, hx + sx % 2)))
-    return found.where(F.col("v").isNotNull() & photon).select("frame", F.col("col").alias("x"), F.col("row").alias("y"), data.alias("data"))
+    sent = frames.sparkSession.sparkContext.broadcast(image_of(pedestal, shape, "mean", "std"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, rms = sent.value
+        for batch in batches:
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                image = data.values.to_numpy(zero_copy_only=False).astype(float).reshape(shape)
+                r, c, windows = photons(image, mean, rms, n_sigma, sx, sy)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1, dtype=np.int32) * (sx * sy)), pa.array(windows.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), number, dtype=np.int64)), pa.array(c.astype(np.int32)), pa.array(r.astype(np.int32)), lists], names=["frame", "x", "y", "data"])
+
+    return frames.select(F.col("frame").cast("long"), "data").mapInArrow(run, CLUSTERS)
 
 
 class Finder:
@@ -221,9 +250,31 @@ def variable_clusters(frames: DataFrame, shape: tuple[int, int], threshold: floa
 
 
 def pack(pixels: DataFrame, rows: int, cols: int, value: str = "value") -> DataFrame:
-    """Long pixels to packed frames ``(frame, data)``; a frame has rows * cols values, missing ones are 0."""
-    cells = pixels.groupBy("frame").agg(F.map_from_entries(F.collect_list(F.struct((F.col("row") * cols + F.col("col")).cast("int").alias("k"), F.col(value).alias("v")))).alias("m"))
-    return cells.select("frame", F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("data"))
+    """Long pixels to packed frames ``(frame, data)``; a frame has rows * cols values.
+
+    Missing pixels are 0, those outside the image are left out, and of repeated ones the largest stays.
+    """
+    inside = F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1)
+    kind = "double" if dict(pixels.dtypes)[value] in ("double", "float") else "long"
+    place = (F.col("row") * cols + F.col("col")).cast("int")
+    cells = pixels.where(inside).groupBy("frame").agg(F.collect_list(F.struct(place.alias("k"), F.col(value).cast(kind).alias("v"))).alias("m"))
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            at, stops = lists.values, lists.offsets.to_numpy()
+            out = np.zeros((batch.num_rows, rows * cols), dtype=np.float64 if kind == "double" else np.int64)
+            frame = np.repeat(np.arange(batch.num_rows), np.diff(stops))
+            k, v = (at.field(c).to_numpy(zero_copy_only=False)[stops[0] : stops[-1]] for c in ("k", "v"))
+            known = ~np.isnan(v.astype(float))
+            frame, k, v = frame[known], k[known].astype(np.int64), v[known]
+            order = np.lexsort((v, k))  # the largest last
+            out[frame[order], k[order]] = v[order]
+            data = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (rows * cols)), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), data], names=["frame", "data"])
+
+    number = dict(pixels.dtypes)["frame"]
+    return cells.mapInArrow(scatter, f"frame {number}, data array<{kind}>")
 
 
 def unpack(frames: DataFrame, cols: int, value: str = "value") -> DataFrame:

@@ -1,8 +1,9 @@
 """Ordered per-pixel recursions that no window function expresses: running pedestals and tracking histograms.
 
-Rows are partitioned by pixel and sorted by (pixel, order) inside the partition; a kernel walks
-the Arrow batches and carries one pixel's state, so memory does not grow with the frames of a
-pixel. Pixels are the unit of parallelism.
+Rows are partitioned by pixel and sorted by their order inside the partition, where a kernel holds
+the states of the partition's pixels as arrays (bounded by the detector, whatever the number of
+frames). A block of rows is dealt to steps, the k-th of which has the k-th row of each pixel, so a
+step is a few array operations over all pixels, as one frame is. Pixels are the unit of parallelism.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+BLOCK_ROWS = 200_000
+
 
 class Pedestal:
     """State of one pixel: sum, sum of squares, samples and mean, in one floating type."""
@@ -61,51 +64,113 @@ class Pedestal:
         return np.sqrt(self.variance())
 
 
-def fold(df: DataFrame, order: list[str], columns: list[str], start: Callable, step: Callable, finish: Callable, schema: str) -> DataFrame:
-    """Fold each pixel's rows in order: ``state = start()``, ``step(state, *columns)``, rows of ``finish(row, col, state)``."""
-    names = [x.split()[0] for x in schema.split(",")]
+class Pedestals:
+    """``Pedestal`` for many pixels: arrays of sums, sums of squares, samples and means."""
+
+    def __init__(self, n_samples: int, kind: type = np.float64):
+        self.limit, self.kind = kind(n_samples), kind
+        self.sum, self.sum2, self.mean, self.n = np.zeros(0, kind), np.zeros(0, kind), np.zeros(0, kind), np.zeros(0, np.int64)
+
+    def grow(self, n: int) -> None:
+        for name in ("sum", "sum2", "mean", "n"):
+            held = getattr(self, name)
+            setattr(self, name, np.concatenate([held, np.zeros(n - len(held), held.dtype)]))
+
+    def push_no_update(self, at: np.ndarray, v: np.ndarray) -> None:
+        """One value for each of the pixels ``at``, which do not repeat."""
+        v = v.astype(self.kind)
+        young = self.n[at] < self.limit
+        for held, x in ((self.sum, v), (self.sum2, v * v)):
+            held[at] += np.where(young, x, x - held[at] / self.limit)
+        self.n[at] += young
+
+    def update_mean(self, at: np.ndarray) -> None:
+        n = self.n[at].astype(self.kind)
+        self.mean[at] = np.where(n > 0, self.sum[at] / np.maximum(n, 1), 0)
+
+    def push(self, at: np.ndarray, v: np.ndarray) -> None:
+        self.push_no_update(at, v)
+        self.update_mean(at)
+
+    def push_with_threshold(self, at: np.ndarray, v: np.ndarray, threshold: np.ndarray) -> None:
+        v = v.astype(self.kind)
+        near = np.abs(v - self.mean[at]) < threshold
+        self.push(at[near], v[near])
+
+    def std(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        n = np.maximum(self.n[at], 1).astype(self.kind)
+        spread = np.sqrt(np.maximum(self.sum2[at] / n - (self.sum[at] / n) ** 2, 0))
+        return np.where(self.n[at] > 0, spread, self.kind(0)).astype(self.kind)
+
+    def rows(self) -> list[np.ndarray]:
+        return [self.n, self.sum, self.sum2, self.mean, self.std()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pixel, state, out = None, None, []
-        for batch in batches:
-            values = [c.to_pylist() for c in batch.columns]
-            for row, col, *rest in zip(*values):
-                if (row, col) != pixel:
-                    if pixel is not None:
-                        out.extend(finish(*pixel, state))
-                    pixel, state = (row, col), start()
-                step(state, *rest)
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=shape)
-                out = []
-        if pixel is not None:
-            out.extend(finish(*pixel, state))
-        if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=shape)
 
+def steps(slots: np.ndarray) -> Iterator[np.ndarray]:
+    """Indices of the first row of every slot, of the second, and so on."""
+    order = np.argsort(slots, kind="stable")
+    sorted_slots = slots[order]
+    starts = np.flatnonzero(np.r_[True, sorted_slots[1:] != sorted_slots[:-1]])
+    rank = np.arange(len(slots)) - np.repeat(starts, np.diff(np.r_[starts, len(slots)]))
+    by_rank = np.argsort(rank, kind="stable")
+    yield from (order[part] for part in np.split(by_rank, np.cumsum(np.bincount(rank))[:-1]))
+
+
+def fold(df: DataFrame, order: list[str], columns: list[str], start: Callable, step: Callable, finish: Callable, schema: str) -> DataFrame:
+    """Fold each pixel's rows in order.
+
+    ``state = start()`` has ``grow(n)``; ``step(state, pixels, *columns)`` takes one row of each of some
+    pixels; ``finish(state, row, col)`` gives the columns of the result. Rows with a null are not read.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     kind = StructType.fromDDL(schema)
     shape = to_arrow_schema(kind)
-    ordered = df.repartition("row", "col").sortWithinPartitions("row", "col", *order)
-    return ordered.select("row", "col", *columns).mapInArrow(run, kind)
 
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= BLOCK_ROWS:
+                yield pa.Table.from_batches(held)
+                held = []
+        if held:
+            yield pa.Table.from_batches(held)
 
-PEDESTAL = "row long, col long, samples long, total double, total2 double, mean double, std double"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, places = start(), np.zeros((0, 2), dtype=np.int64)
+        for block in blocks(batches):
+            pixels, slots = np.unique(np.stack([block["row"].to_numpy(), block["col"].to_numpy()], axis=1), axis=0, return_inverse=True)
+            known = {tuple(p): k for k, p in enumerate(places.tolist())}
+            fresh = np.array([p for p in pixels.tolist() if tuple(p) not in known], dtype=np.int64).reshape(-1, 2)
+            known |= {tuple(p): len(places) + k for k, p in enumerate(fresh.tolist())}
+            places = np.concatenate([places, fresh])
+            state.grow(len(places))
+            slots = np.array([known[tuple(p)] for p in pixels.tolist()], dtype=np.int64)[slots.ravel()]
+            values = [block[c].to_numpy() for c in columns]
+            for at in steps(slots):
+                step(state, slots[at], *(v[at] for v in values))
+        if len(places):
+            found = finish(state, places[:, 0], places[:, 1])
+            yield pa.RecordBatch.from_arrays([pa.array(a, type=f.type) for a, f in zip(found, shape)], schema=shape)
+
+    given = [F.col("row").cast("long"), F.col("col").cast("long"), *columns]
+    ordered = df.repartition("row", "col").sortWithinPartitions(*order)
+    return ordered.select(*given).na.drop().mapInArrow(run, kind)
 
 
-def _pedestal_rows(row, col, p: Pedestal) -> list[tuple]:
-    return [(row, col, int(p.n), float(p.sum), float(p.sum2), float(p.mean), float(p.std()))]
+PEDESTAL = "row long, col long, samples long, total double, total2 double, mean double, std double"
 
 
 def running_pedestal(df: DataFrame, value: str, order: list[str], n_samples: int = 1000) -> DataFrame:
     """Pedestal of every pixel after all its values in order."""
-    return fold(df, order, [value], lambda: Pedestal(n_samples), lambda p, v: p.push(v), _pedestal_rows, PEDESTAL)
+    return fold(df, order, [value], lambda: Pedestals(n_samples), Pedestals.push, lambda p, row, col: [row, col, *p.rows()], PEDESTAL)
 
 
 def running_pedestal_with_threshold(df: DataFrame, value: str, threshold: str, order: list[str], n_samples: int = 1000) -> DataFrame:
-    return fold(df, order, [value, threshold], lambda: Pedestal(n_samples), lambda p, v, t: p.push_with_threshold(v, t), _pedestal_rows, PEDESTAL)
+    """The same, but a value counts only if it is nearer to the pixel's mean than the row's threshold."""
+    return fold(df, order, [value, threshold], lambda: Pedestals(n_samples), Pedestals.push_with_threshold, lambda p, row, col: [row, col, *p.rows()], PEDESTAL)
 
 
 def pedestal_no_update(df: DataFrame, value: str) -> DataFrame:
@@ -141,14 +206,43 @@ class Tracking:
             self.pedestal.push(raw)
 
 
+class Trackings:
+    """``Tracking`` for many pixels."""
+
+    def __init__(self, bins: int, xmin: float, xmax: float, n_sigma: float, n_samples: int):
+        self.pedestals = Pedestals(n_samples, np.float32)
+        self.bins, self.xmin, self.xmax, self.n_sigma = bins, xmin, xmax, n_sigma
+        self.sigma, self.seeding = np.zeros(0, np.float32), np.zeros(0, bool)
+        self.counts = np.zeros((0, bins), np.int32)
+
+    def grow(self, n: int) -> None:
+        more = n - len(self.sigma)
+        self.pedestals.grow(n)
+        self.sigma = np.concatenate([self.sigma, np.zeros(more, np.float32)])
+        self.seeding = np.concatenate([self.seeding, np.ones(more, bool)])
+        self.counts = np.concatenate([self.counts, np.zeros((more, self.bins), np.int32)])
+
+    def step(self, at: np.ndarray, is_pedestal: np.ndarray, raw: np.ndarray) -> None:
+        is_pedestal = is_pedestal.astype(bool)
+        self.pedestals.push_no_update(at[is_pedestal], raw[is_pedestal])
+        at, raw = at[~is_pedestal], raw[~is_pedestal]
+        new = at[self.seeding[at]]
+        self.pedestals.update_mean(new)
+        self.sigma[new], self.seeding[new] = self.pedestals.std(new), False
+        residual = raw.astype(np.float32) - self.pedestals.mean[at]
+        inside = (self.xmin <= residual) & (residual < self.xmax)
+        scaled = (residual[inside].astype(np.float64) - self.xmin) * (self.bins / (self.xmax - self.xmin))
+        cell = (at[inside], np.minimum(scaled.astype(np.int64), self.bins - 1))
+        self.counts[cell] = np.minimum(self.counts[cell] + 1, 65_535)
+        sigma = self.sigma[at]
+        quiet = (self.n_sigma > 0) & (sigma > 0) & (np.abs(residual) < self.n_sigma * sigma)
+        self.pedestals.push(at[quiet], raw[quiet])
+
+    def rows(self, row: np.ndarray, col: np.ndarray) -> list[np.ndarray]:
+        at, bins = np.nonzero(self.counts)
+        return [row[at], col[at], bins, self.counts[at, bins]]
+
+
 def tracking_histogram(df: DataFrame, raw: str, is_pedestal: str, order: list[str], bins: int, xmin: float, xmax: float, n_sigma: float = 1.0, n_samples: int = 1000) -> DataFrame:
     """Sparse (row, col, bin, count) of residuals; pedestal rows must come first in the order."""
-    return fold(
-        df,
-        order,
-        [is_pedestal, raw],
-        lambda: Tracking(bins, xmin, xmax, n_sigma, n_samples),
-        lambda s, p, v: s.step(p, v),
-        lambda row, col, s: [(row, col, b, n) for b, n in sorted(s.counts.items())],
-        "row long, col long, bin long, count long",
-    )
+    return fold(df, order, [is_pedestal, raw], lambda: Trackings(bins, xmin, xmax, n_sigma, n_samples), Trackings.step, Trackings.rows, "row long, col long, bin long, count long")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from photonspark.functions.clusters import Shape
@@ -191,7 +192,7 @@ def test_frozen_clusters_keep_ties(spark):
     image[1, 1] = image[1, 2] = 50
     px = frames(spark, [image]).withColumnRenamed("raw", "value")
     pedestal = calibration.grid(spark, 4, 5).withColumn("mean", F.lit(0.0)).withColumn("std", F.lit(1.0))
-    got = finder.frozen_clusters(px, pedestal).collect()
+    got = finder.frozen_clusters(finder.pack(px, 4, 5), pedestal, (4, 5)).collect()
     assert sorted((r["x"], r["y"]) for r in got) == [(1, 1), (2, 1)]
     assert {tuple(r["data"]) for r in got} == {(0, 0, 0, 0, 50, 50, 0, 0, 0), (0, 0, 0, 50, 50, 0, 0, 0, 0)}
 
@@ -263,3 +264,63 @@ def test_legacy_fits(spark):
     line = fit.fit_legacy(df, "pol1", x.tolist()).first()
     assert line["par"] == pytest.approx([2, 3], rel=1e-6) and line["Ndf"] == 38
     assert fit.fit_legacy(df.drop("y_err"), "gaus", x.tolist()).columns == ["row", "col", "par"]
+
+
+def test_frozen_clusters_match_brute_force(spark):
+    draw, shape, sx, sy = np.random.default_rng(6), (7, 9), 5, 3
+    images = [np.round(draw.normal(50, 9, shape)).astype(int) for _ in range(6)]
+    mean, std = draw.normal(50, 1, shape), draw.uniform(3, 6, shape)
+    pedestal = spark.createDataFrame([(r, c, float(mean[r, c]), float(std[r, c])) for r in range(7) for c in range(9)], "row long, col long, mean double, std double")
+    packed = spark.createDataFrame([(f, i.ravel().tolist()) for f, i in enumerate(images)], "frame long, data array<long>")
+    want = []
+    for f, image in enumerate(images):
+        v = np.floor((image - mean) * 1e6 + 0.5)
+        for r, c in np.ndindex(*shape):
+            near = {(dy, dx): v[r + dy, c + dx] if 0 <= r + dy < 7 and 0 <= c + dx < 9 else 0.0 for dy in (-1, 0, 1) for dx in range(-2, 3)}
+            limit, most = 1.5e6 * std[r, c], max(0.0, *near.values())
+            if v[r, c] >= -limit and v[r, c] == most and (most > limit or sum(near.values()) > np.sqrt(15) * limit):
+                want.append((f, c, r, [int(np.sign(x) * np.floor(abs(x) / 1e6 + 0.5)) for x in near.values()]))
+    got = finder.frozen_clusters(packed, pedestal, shape, 1.5, sx, sy).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 20
+
+
+def test_pack_fills_and_keeps_the_largest(spark):
+    px = spark.createDataFrame([(0, 0, 1, 5), (0, 1, 2, 7), (0, 1, 2, 6), (0, 9, 0, 1), (3, 0, 0, None), (3, 1, 0, -2)], "frame long, row long, col long, value long")
+    assert {r["frame"]: r["data"] for r in finder.pack(px, 2, 3).collect()} == {0: [0, 5, 0, 0, 0, 7], 3: [0, 0, 0, -2, 0, 0]}
+    halves = px.withColumn("value", F.col("value") / 2)
+    assert {r["frame"]: r["data"] for r in finder.pack(halves, 2, 3).collect()}[0] == [0, 2.5, 0, 0, 0, 3.5]
+    large = finder.pack(spark.range(512 * 1024).select(F.lit(1).alias("frame"), F.floor(F.col("id") / 1024).alias("row"), (F.col("id") % 1024).alias("col"), F.col("id").alias("value")), 512, 1024)
+    assert large.select(F.col("data")[524_287], F.size("data")).first() == (524_287, 524_288)
+
+
+@pytest.mark.parametrize("block", [7, 200_000])
+def test_folds_of_many_pixels_match_one_at_a_time(spark, monkeypatch, block):
+    monkeypatch.setattr(folds, "BLOCK_ROWS", block)
+    draw = np.random.default_rng(block)
+    rows = [(int(draw.integers(3)), int(draw.integers(4)), k, bool(k < 90), int(v), 6.0) for k, v in enumerate(draw.normal(100, 4, 600))]
+    df = spark.createDataFrame([*rows, (0, 0, 999, True, None, 6.0)], "row long, col long, k long, p boolean, v long, t double")
+    pedestals, near, tracked = {}, {}, {}
+    for row, col, _, p, v, t in rows:
+        pedestals.setdefault((row, col), folds.Pedestal(20)).push(v)
+        near.setdefault((row, col), folds.Pedestal(20)).push_with_threshold(v, 300 if not near[row, col].n else t)
+        tracked.setdefault((row, col), folds.Tracking(32, -16.0, 16.0, 1.0, 40)).step(p, v)
+    flat = lambda held: {k: pytest.approx((p.n, p.sum, p.sum2, p.mean, p.std()), rel=1e-9) for k, p in held.items()}
+    got = lambda found: {(r["row"], r["col"]): tuple(r[c] for c in ("samples", "total", "total2", "mean", "std")) for r in found.collect()}
+    assert got(folds.running_pedestal(df, "v", ["k"], 20)) == flat(pedestals)
+    first = df.withColumn("t", F.when(F.row_number().over(Window.partitionBy("row", "col").orderBy("k")) == 1, 300.0).otherwise(F.col("t")))
+    assert got(folds.running_pedestal_with_threshold(first, "v", "t", ["k"], 20)) == flat(near)
+    hist = folds.tracking_histogram(df, "v", "p", ["k"], 32, -16.0, 16.0, 1.0, 40)
+    assert {(r["row"], r["col"], r["bin"]): r["count"] for r in hist.collect()} == {(*k, b): n for k, s in tracked.items() for b, n in s.counts.items()}
+    assert folds.running_pedestal(df.where("false"), "v", ["k"]).count() == 0
+
+
+def test_frame_sync_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sync, "RANGE", 16)
+    draw = np.random.default_rng(1)
+    series = [sorted(draw.choice(400, 300, replace=False).tolist()) for _ in range(3)]
+    common = sorted(set(series[0]) & set(series[1]) & set(series[2]))
+    want = [(k, next(c for c in common if c >= low)) for k in range(300) if (low := max(s[k] for s in series)) <= common[-1]]
+    rows = [(m, f) for m, s in enumerate(series) for f in s]
+    df = spark.createDataFrame([*rows, rows[0], (0, None), (None, 3)], "module long, frame_number long")
+    assert sorted(map(tuple, sync.frame_sync(df, 3).collect())) == want
+    assert sync.frame_sync(df.where("false"), 3).count() == 0
