@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from photonspark.functions import clusters, decode, models, search
 from photonspark.functions.clusters import Shape
 from photonspark.operators import calibration, finder, fit, folds, geometry, histogram, interpolation, sync
-from photonspark.plans import oracle
+from photonspark.plans import oracle, series
 from photonspark.plans.views import COLS, ROWS, cl, hits, img, px, scan, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,7 +176,7 @@ def _gains(spark: SparkSession, rows: int, cols: int) -> DataFrame:
 
 @query
 def c16_gain_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(clusters.gain_map(cl(spark, sf_dir), _gains(spark, 400, 400), S3, 400, 400, "vec_id"), 9)
+    return spread(clusters.gain_map(cl(spark, sf_dir), _gains(spark, 400, 400), S3, 400, 400), 9)
 
 
 @query
@@ -187,7 +187,7 @@ def f1_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def f2_noise_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     noise = calibration.grid(spark, 400, 400).withColumn("noise", (F.col("col") * 7 + F.col("row")) % 40)
-    return clusters.noise_cut(cl(spark, sf_dir), noise, S3).select("vec_id", "x", "y")
+    return clusters.noise_cut(cl(spark, sf_dir), noise, S3, 400 * 400).select("vec_id", "x", "y")
 
 
 @query
@@ -251,7 +251,8 @@ def p1_pedestal_running(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p4_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hits(spark, sf_dir).withColumn("threshold", F.lit(60.0))
-    return folds.running_pedestal_with_threshold(rows, "value", "threshold", ["ts", "event_id"], n_samples=50)
+    found = folds.running_pedestal_with_threshold(rows, "value", "threshold", ["ts", "event_id"], n_samples=50)
+    return found.select("row", "col", "samples", *(F.round(c, 6).alias(c) for c in ("total", "total2", "mean", "std")))
 
 
 # -- histograms ------------------------------------------------------------------------------------
@@ -370,7 +371,7 @@ def g1_clusters_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = frames.groupBy("row", "col").agg(F.sum(v).alias("s"), F.sum(v * v).alias("s2"))
     variance = F.greatest((F.col("s2") * 64 - F.col("s") * F.col("s")).cast("double"), F.lit(0.0))
     pedestal = s.select("row", "col", (F.col("s").cast("double") / 64).alias("mean"), (F.sqrt(variance) / 64).alias("std"))
-    return spread(finder.frozen_clusters(frames, pedestal, n_sigma=1.0, n_pixels=ROWS * COLS), 9)
+    return spread(finder.frozen_clusters(finder.pack(frames, ROWS, COLS), pedestal, (ROWS, COLS), n_sigma=1.0), 9)
 
 
 @query
@@ -450,3 +451,7 @@ def _fitted(model: str) -> Query:
 
 
 QUERIES |= {f"{n}_{m}_fit": _fitted(m) for n, m in (("r3", "gaussian"), ("r4", "gaussian_erfc_plateau"), ("r5", "gaussian_charge_sharing"), ("r6", "gaussian_charge_sharing_kb"), ("r7", "rising_scurve"), ("r8", "falling_scurve"))}
+
+# -- files -----------------------------------------------------------------------------------------
+
+QUERIES |= series.QUERIES

@@ -169,7 +169,7 @@ FROM (SELECT *, col_index * 512 AS ox, row_index * 256 AS oy FROM (
   SELECT m AS module, m % 2 AS row_index, m // 2 AS col_index FROM (SELECT range AS m FROM range(4))))
 WHERE ox < 900 AND ox + 512 > 300 AND oy < 400 AND oy + 256 > 100"""
 
-SYNC = """WITH m AS (SELECT DISTINCT l_suppkey % 4 AS module, l_orderkey % 997 AS frame_number FROM lineitem WHERE l_partkey % 4 <> 0),
+SYNC = """WITH m AS (SELECT DISTINCT l_suppkey % 4 AS module, l_orderkey % 997 AS frame_number FROM lineitem),
 i AS (SELECT module, frame_number, row_number() OVER (PARTITION BY module ORDER BY frame_number) - 1 AS idx FROM m),
 c AS (SELECT frame_number FROM m GROUP BY frame_number HAVING count(*) = 4),
 w AS (SELECT idx, max(frame_number) AS at_least FROM i GROUP BY idx HAVING count(*) = 4)
@@ -184,13 +184,57 @@ r AS (
 SELECT "row", "col", samples, round(total, 6) AS total, round(total / samples, 6) AS mean
 FROM r JOIN (SELECT "row", "col", max(k) AS k FROM o GROUP BY ALL) USING ("row", "col", k)""").replace("WITH hits", "WITH RECURSIVE hits")
 
-COMPONENTS = q(PX, IMG, """hot AS (SELECT frame, "row", "col", "row" * 16 + "col" AS id FROM img WHERE frame < 8 AND value > 15000),
+COMPONENTS = q(PX, IMG, """hot AS (SELECT frame, "row", "col", "row" * 16 + "col" AS id FROM img WHERE value > 15000),
 l AS (
   SELECT frame, id, id AS label FROM hot
   UNION
   SELECT l.frame, b.id, l.label FROM l JOIN hot AS a ON a.frame = l.frame AND a.id = l.id JOIN hot AS b ON b.frame = a.frame AND abs(b."row" - a."row") <= 1 AND abs(b."col" - a."col") <= 1 AND b.id <> a.id)
 SELECT frame, label, count(*) AS size FROM (SELECT frame, id, min(label) AS label FROM l GROUP BY ALL) GROUP BY ALL""").replace("WITH px", "WITH RECURSIVE px")
 
+# An ordered recursion over the values of a pixel; a value counts if it is near the mean of those before.
+THRESHOLD = q(HITS, """o AS (SELECT "row", "col", value AS v, row_number() OVER (PARTITION BY "row", "col" ORDER BY ts, event_id) AS k FROM hits),
+r AS (
+  SELECT "row", "col", 0::BIGINT AS k, 0::BIGINT AS samples, 0::DOUBLE AS total, 0::DOUBLE AS total2, 0::DOUBLE AS mean FROM o WHERE k = 1
+  UNION ALL
+  SELECT "row", "col", k, n, t, t2, CASE WHEN near THEN t / n ELSE mean END
+  FROM (
+    SELECT *, CASE WHEN near THEN least(samples + 1, 50) ELSE samples END AS n,
+      CASE WHEN NOT near THEN total WHEN samples < 50 THEN total + v ELSE total + (v - total / 50) END AS t,
+      CASE WHEN NOT near THEN total2 WHEN samples < 50 THEN total2 + v * v ELSE total2 + (v * v - total2 / 50) END AS t2
+    FROM (SELECT o."row", o."col", o.k, o.v, samples, total, total2, mean, abs(o.v - mean) < 60 AS near FROM r JOIN o ON o."row" = r."row" AND o."col" = r."col" AND o.k = r.k + 1)))
+SELECT "row", "col", samples, round(total, 6) AS total, round(total2, 6) AS total2, round(mean, 6) AS mean,
+  round(CASE WHEN samples = 0 THEN 0 ELSE sqrt(greatest(total2 / samples - (total / samples) ** 2, 0)) END, 6) AS std
+FROM r JOIN (SELECT "row", "col", max(k) AS k FROM o GROUP BY ALL) USING ("row", "col", k)""").replace("WITH hits", "WITH RECURSIVE hits")
+
+# The same with 32-bit floats: seeds fill the pedestal, later values are binned about it and, if quiet, pushed.
+TRACKING = """WITH RECURSIVE """ + PX + """,
+o AS (
+  SELECT "row", "col", (raw & 16383)::FLOAT AS v, l_orderkey % 64 < 16 AS seed,
+    row_number() OVER (PARTITION BY "row", "col" ORDER BY l_orderkey % 64 >= 16, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k FROM px),
+r AS (
+  SELECT "row", "col", 0::BIGINT AS k, 0::BIGINT AS n, 0::FLOAT AS total, 0::FLOAT AS total2, 0::FLOAT AS mean, 0::FLOAT AS sigma, true AS seeding, NULL::BIGINT AS bin FROM o WHERE k = 1
+  UNION ALL
+  SELECT "row", "col", k, n, total, total2, CASE WHEN quiet AND NOT seed THEN total / n::FLOAT ELSE mean END, sigma, seeding AND seed,
+    CASE WHEN NOT seed AND residual >= -8000 AND residual < 8000 THEN least(CAST(floor((residual::DOUBLE + 8000) * (64 / 16000.0::DOUBLE)) AS BIGINT), 63) END
+  FROM (
+    SELECT "row", "col", k, seed, seeding, mean, sigma, residual, quiet, CASE WHEN quiet THEN least(n + 1, 1000) ELSE n END AS n,
+      CASE WHEN NOT quiet THEN total WHEN n < 1000 THEN total + v ELSE total + (v - total / 1000::FLOAT) END AS total,
+      CASE WHEN NOT quiet THEN total2 WHEN n < 1000 THEN total2 + v * v ELSE total2 + (v * v - total2 / 1000::FLOAT) END AS total2
+    FROM (
+      SELECT *, seed OR (sigma > 0 AND abs(residual) < sigma) AS quiet
+      FROM (
+        SELECT *, v - mean AS residual
+        FROM (
+          SELECT o."row", o."col", o.k, o.v, o.seed, n, total, total2, seeding,
+            CASE WHEN o.seed OR NOT seeding THEN mean WHEN n = 0 THEN 0 ELSE total / n::FLOAT END AS mean,
+            CASE WHEN o.seed OR NOT seeding THEN sigma WHEN n = 0 THEN 0 ELSE sqrt(greatest(total2 / n::FLOAT - (total / n::FLOAT) * (total / n::FLOAT), 0::FLOAT))::FLOAT END AS sigma
+          FROM r JOIN o ON o."row" = r."row" AND o."col" = r."col" AND o.k = r.k + 1)))))
+SELECT "row", "col", bin, least(count(*), 65535) AS count FROM r WHERE bin IS NOT NULL GROUP BY ALL"""
+
+MODULE = 'SELECT frame AS frame_index, "row" // 8 AS module, frame AS frame_number, "row" % 8 AS "row", "col", value FROM img'
+REGION = 'SELECT {k} AS roi, frame AS frame_number, "row" - {y0} AS "row", "col" - {x0} AS "col", value FROM img WHERE "row" >= {y0} AND "row" < {y1} AND "col" >= {x0} AND "col" < {x1}'
+FILED = "SELECT vec_id // 7 - 5 AS frame_number, x, y, {data} FROM cl"
+
 
 SQL: dict[str, str] = {
     "d1_gain_value": q(PX, f"SELECT l_orderkey, l_linenumber, l_partkey, raw & 16383 AS value, {GAIN} AS gain FROM px"),
@@ -266,4 +310,15 @@ SELECT ix, iy, ie, ietax, {conditional('iy', 'ix, ie')} AS ietay FROM cube JOIN
     "r10_erf": f"SELECT l_orderkey, l_linenumber, l_partkey, round({ERF}, 9) AS erf FROM (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + 0.3275911::DOUBLE * abs(z)) AS t FROM (SELECT *, (l_quantity - 25) / 10 AS z FROM lineitem))",
     "d20_scurve": f"SELECT l_orderkey, l_linenumber, l_partkey, round(5.0::DOUBLE + 0.1::DOUBLE * l_quantity + 0.5::DOUBLE * (1.0::DOUBLE + {ERF}) * (100.0::DOUBLE + 0.5::DOUBLE * (l_quantity - 25)), 6) AS y FROM (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + 0.3275911::DOUBLE * abs(z)) AS t FROM (SELECT *, (l_quantity - 25) / (sqrt(2.0::DOUBLE) * 6.0::DOUBLE) AS z FROM lineitem))",
     "r12_chi2": q(SCAN, "SELECT pixel, round(sum((y - 3 * x) * (y - 3 * x))::DOUBLE, 6) AS chi2 FROM scan GROUP BY pixel"),
+    "p4_threshold": THRESHOLD,
+    "h5_tracking_hist": TRACKING,
+    "s1_raw_frames": q(PX, IMG, MODULE),
+    "s2_seek_frames": q(PX, IMG, f"SELECT frame_index, module, sum(value)::BIGINT AS total FROM ({MODULE}) WHERE frame_index >= 20 AND frame_index < 30 GROUP BY ALL"),
+    "s7_regions": q(PX, IMG, REGION.format(k=0, x0=2, x1=9, y0=5, y1=13) + " UNION ALL " + REGION.format(k=1, x0=0, x1=16, y0=0, y1=3)),
+    "s9_stitched": q(PX, IMG, 'SELECT frame AS frame_number, "row", "col", value FROM img'),
+    "s13_master_file": "SELECT '7.2' AS version, 'Jungfrau' AS detector_type, 'auto' AS timing_mode, '2' AS geometry_row, '1' AS geometry_col, '256' AS image_size_bytes, '16' AS pixels_x, '8' AS pixels_y, '16' AS bitdepth, '25' AS max_frames_per_file, '1' AS frame_padding, '5000000000' AS exptime_ns, '1000000' AS period_ns, 'UNKNOWN' AS reading_mode",
+    "s17_board_frames": q(PX, IMG, 'SELECT frame AS frame_index, "row" * 16 + "col" AS sample, value FROM img'),
+    "s21_npy_frames": q(PX, IMG, 'SELECT frame AS frame_index, "row", "col", value::DOUBLE AS value FROM img'),
+    "s23_cluster_files": q(cl(), FILED.format(data=", ".join(f"data[{i + 1}] AS d{i}" for i in range(9)))),
+    "s25_cluster_region": q(cl(), "SELECT vec_id // 7 - 5 AS frame_number, x, y FROM cl WHERE vec_id // 7 - 5 BETWEEN -3 AND 20 AND x >= 10 AND x < 100 AND y >= 0 AND y < 2"),
 }
