@@ -10,6 +10,10 @@ non-overlapping occurrences in the word are contracted in one step; one by one,
 gives the same tokens. Decoding joins (document, position, token) to the vocabulary and
 aggregates the bytes in the order of positions.
 
+The rounds of the recursive query grow with the piece, and each reads all of it. Pieces of over ``HUGE``
+bytes (a run of letters without a space, say) are therefore contracted by a heap of pairs, which takes
+the same pairs in the same order in n log n steps, so no piece is too long.
+
 Pieces are cached in a worker up to ``CACHED`` entries, after which the cache starts anew; the
 memory of a task thus depends on the block size, not on the partition.
 
@@ -22,7 +26,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from heapq import heapify, heappop, heappush
 
 import duckdb
 import numpy as np
@@ -74,6 +79,7 @@ WITH RECURSIVE step(word, tokens) USING KEY (word) AS (
 SELECT word, tokens FROM step
 """
 LONG = 48
+HUGE = 1024
 
 #: One sort by document and position feeds the aggregate; the connection has one thread, which keeps that order.
 DECODE = """
@@ -114,6 +120,32 @@ class Codec:
             self.db.unregister("given")
         self.byte_rank = np.array([self.ranks[bytes((b,))] for b in range(256)], dtype=np.int32)
 
+    @cached_property
+    def pairs(self) -> dict[tuple[int, int], int]:
+        return {(first, second): merged for first, second, merged in self.db.sql("SELECT first, second, merged FROM merges").fetchall()}
+
+    def contract(self, raw: bytes) -> bytes:
+        """The ids of one piece: a heap gives the leftmost pair of minimum rank of a linked list of tokens."""
+        pairs, end = self.pairs, len(raw)
+        token = self.byte_rank[np.frombuffer(raw, dtype=np.uint8)].tolist()
+        before, after = list(range(-1, end - 1)), list(range(1, end + 1))
+        heap = [(merged, at) for at in range(end - 1) if (merged := pairs.get((token[at], token[at + 1]))) is not None]
+        heapify(heap)
+        while heap:
+            merged, at = heappop(heap)
+            right = after[at]
+            if token[at] < 0 or right == end or pairs.get((token[at], token[right])) != merged:
+                continue  # one of the two has been contracted since
+            token[at], token[right] = merged, -1
+            after[at] = beyond = after[right]
+            if beyond < end:
+                before[beyond] = at
+                if (found := pairs.get((merged, token[beyond]))) is not None:
+                    heappush(heap, (found, at))
+            if (left := before[at]) >= 0 and (found := pairs.get((token[left], merged))) is not None:
+                heappush(heap, (found, left))
+        return np.array([t for t in token if t >= 0], dtype="<u4").tobytes()
+
     def _learn(self, pieces: set[str]) -> None:
         """Encode new pieces and cache them as little-endian unsigned 32-bit ids."""
         open_words, raws = [], []
@@ -121,6 +153,8 @@ class Codec:
             raw = piece.encode("utf-8")
             if raw in self.ranks:
                 self.cache[piece] = self.ranks[raw].to_bytes(4, "little")
+            elif len(raw) > HUGE:
+                self.cache[piece] = self.contract(raw)
             else:
                 open_words.append(piece)
                 raws.append(raw)
