@@ -86,6 +86,8 @@ class Finder:
     """Sequential finder of fixed-size clusters in whole images; it owns a pedestal."""
 
     def __init__(self, shape: tuple[int, int], n_sigma: float = 5.0, n_samples: int = 1000, sx: int = 3, sy: int = 3):
+        if sx < 3 or sy < 3:
+            raise ValueError(f"a finder's clusters have 3 x 3 pixels at least, not {sx} x {sy}")
         self.n_sigma, self.sx, self.sy, self.limit = n_sigma, sx, sy, n_samples
         self.c3 = math.sqrt(sx * sy)
         self.sum, self.sum2, self.mean = (np.zeros(shape) for _ in range(3))
@@ -187,15 +189,27 @@ def label_components(mask: np.ndarray) -> np.ndarray:
     return labels
 
 
+def labelled(frames: DataFrame, shape: tuple[int, int], threshold: float) -> DataFrame:
+    """(frame, data): the label image of each packed frame, 0 where no component is."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"frame": batch["frame"], "data": [label_components(np.asarray(d).reshape(shape) > threshold).ravel() for d in batch["data"]]})
+
+    return frames.select("frame", "data").mapInPandas(run, "frame long, data array<int>")
+
+
 def hits_of(image: np.ndarray, threshold: float) -> list[dict]:
     """Hits of connected pixels above the threshold; size, energy and maximum stop at ``MAX_HIT_PIXELS`` pixels in raster order; ``pixels`` counts all."""
-    labels = label_components(image > threshold)
+    labels = label_components(image > threshold).ravel()
+    hot = np.flatnonzero(labels)
+    order = hot[np.argsort(labels[hot], kind="stable")]  # by label, each in raster order
     out = []
-    for k in range(1, labels.max(initial=0) + 1):
-        rows, cols = (a[:MAX_HIT_PIXELS] for a in np.nonzero(labels == k))
+    for every in np.split(order, np.cumsum(np.bincount(labels[hot])[1:])[:-1]) if len(hot) else ():
+        rows, cols = np.unravel_index(every[:MAX_HIT_PIXELS], image.shape)
         values = image[rows, cols]
         top = int(values.argmax())
-        out.append({"pixels": int((labels == k).sum()), "size": len(rows), "row": int(rows[top]), "col": int(cols[top]), "energy": float(values.sum()), "max": float(values[top]), "rows": rows.tolist(), "cols": cols.tolist(), "enes": values.astype(float).tolist()})
+        out.append({"pixels": len(every), "size": len(rows), "row": int(rows[top]), "col": int(cols[top]), "energy": float(values.sum()), "max": float(values[top]), "rows": rows.tolist(), "cols": cols.tolist(), "enes": values.astype(float).tolist()})
     return out
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 200_000
@@ -209,9 +209,9 @@ class Tracking:
 class Trackings:
     """``Tracking`` for many pixels."""
 
-    def __init__(self, bins: int, xmin: float, xmax: float, n_sigma: float, n_samples: int):
+    def __init__(self, bins: int, xmin: float, xmax: float, n_samples: int):
         self.pedestals = Pedestals(n_samples, np.float32)
-        self.bins, self.xmin, self.xmax, self.n_sigma = bins, xmin, xmax, n_sigma
+        self.bins, self.xmin, self.xmax = bins, xmin, xmax
         self.sigma, self.seeding = np.zeros(0, np.float32), np.zeros(0, bool)
         self.counts = np.zeros((0, bins), np.int32)
 
@@ -222,10 +222,10 @@ class Trackings:
         self.seeding = np.concatenate([self.seeding, np.ones(more, bool)])
         self.counts = np.concatenate([self.counts, np.zeros((more, self.bins), np.int32)])
 
-    def step(self, at: np.ndarray, is_pedestal: np.ndarray, raw: np.ndarray) -> None:
+    def step(self, at: np.ndarray, is_pedestal: np.ndarray, raw: np.ndarray, n_sigma: np.ndarray) -> None:
         is_pedestal = is_pedestal.astype(bool)
         self.pedestals.push_no_update(at[is_pedestal], raw[is_pedestal])
-        at, raw = at[~is_pedestal], raw[~is_pedestal]
+        at, raw, n_sigma = at[~is_pedestal], raw[~is_pedestal], n_sigma[~is_pedestal].astype(np.float32)
         new = at[self.seeding[at]]
         self.pedestals.update_mean(new)
         self.sigma[new], self.seeding[new] = self.pedestals.std(new), False
@@ -235,7 +235,7 @@ class Trackings:
         cell = (at[inside], np.minimum(scaled.astype(np.int64), self.bins - 1))
         self.counts[cell] = np.minimum(self.counts[cell] + 1, 65_535)
         sigma = self.sigma[at]
-        quiet = (self.n_sigma > 0) & (sigma > 0) & (np.abs(residual) < self.n_sigma * sigma)
+        quiet = (n_sigma > 0) & (sigma > 0) & (np.abs(residual) < n_sigma * sigma)
         self.pedestals.push(at[quiet], raw[quiet])
 
     def rows(self, row: np.ndarray, col: np.ndarray) -> list[np.ndarray]:
@@ -243,6 +243,7 @@ class Trackings:
         return [row[at], col[at], bins, self.counts[at, bins]]
 
 
-def tracking_histogram(df: DataFrame, raw: str, is_pedestal: str, order: list[str], bins: int, xmin: float, xmax: float, n_sigma: float = 1.0, n_samples: int = 1000) -> DataFrame:
-    """Sparse (row, col, bin, count) of residuals; pedestal rows must come first in the order."""
-    return fold(df, order, [is_pedestal, raw], lambda: Trackings(bins, xmin, xmax, n_sigma, n_samples), Trackings.step, Trackings.rows, "row long, col long, bin long, count long")
+def tracking_histogram(df: DataFrame, raw: str, is_pedestal: str, order: list[str], bins: int, xmin: float, xmax: float, n_sigma: float | Column = 1.0, n_samples: int = 1000) -> DataFrame:
+    """Sparse (row, col, bin, count) of residuals; pedestal rows must come first in the order. ``n_sigma`` may change from row to row."""
+    live = df.withColumn("_n_sigma", n_sigma if isinstance(n_sigma, Column) else F.lit(float(n_sigma)))
+    return fold(live, order, [is_pedestal, raw, "_n_sigma"], lambda: Trackings(bins, xmin, xmax, n_samples), Trackings.step, Trackings.rows, "row long, col long, bin long, count long")

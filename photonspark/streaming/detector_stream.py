@@ -75,3 +75,30 @@ def sink_to_clusters(stream: DataFrame, path: str, checkpoint: str, sx: int = 3,
         write_clusters(batch, f"{path}/batch-{number:09d}", sx, sy, dtype)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class ClusterCollector:
+    """Clusters of a stream, kept as Parquet under ``path`` (a shared folder) until they are taken."""
+
+    def __init__(self, stream: DataFrame, path: str, checkpoint: str):
+        self.spark, self.path, self.schema = stream.sparkSession, path, stream.schema
+        self.taken, self.kept = -1, False
+        self.query = stream.writeStream.foreachBatch(self._keep).option("checkpointLocation", checkpoint).start()
+
+    def _keep(self, batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+        self.kept = True
+
+    def steal_clusters(self) -> DataFrame:
+        """All clusters since the last call; what is on its way is waited for."""
+        self.query.processAllAvailable()
+        done = self.query.lastProgress
+        first, last = self.taken, done["batchId"] if done else -1
+        self.taken = max(first, last)
+        if last <= first or not self.kept:
+            return self.spark.createDataFrame([], self.schema)
+        found = self.spark.read.schema(self.schema).parquet(self.path)  # the folders' names give the column batch
+        return found.where((F.col("batch") > first) & (F.col("batch") <= last)).select(*self.schema.names)
+
+    def stop(self) -> None:
+        self.query.stop()
