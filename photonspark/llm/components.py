@@ -1,4 +1,9 @@
-"""Connected components of a table of links, without collecting anything."""
+"""Connected components of a table of links, without collecting anything.
+
+Defined results: a link from a vertex to itself gives that vertex no row; repeated links count once;
+links with a null end join nothing and give no row; no links give no rows; other columns of the
+links are not read.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +21,7 @@ def contract(work: Workspace, links: DataFrame, name: str, rows: int | None = No
     live vertices falls at least by half. Hot vertices cost a partial aggregation only. ``rows``
     is an upper bound of the links, if known.
     """
-    edges = work.table(links.where("a != b").select("a", "b").distinct(), f"{name}-edges-0", rows)
+    edges = work.table(links.select("a", "b").where("a != b").distinct(), f"{name}-edges-0", rows)
     n = edges.count()
     hooks: list[DataFrame] = []
     total = n
@@ -24,9 +29,8 @@ def contract(work: Workspace, links: DataFrame, name: str, rows: int | None = No
     while n:
         both = edges.union(edges.select("b", "a"))
         hook = both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("to"))
-        hook = work.table(hook, f"{name}-hook-{turn}", 2 * n)
         up = hook.select(F.col("v").alias("mid"), F.col("to").alias("top"))
-        hook = work.table(hook.join(up, F.col("to") == F.col("mid")).select("v", F.col("top").alias("to")), f"{name}-jump-{turn}", 2 * n)
+        hook = work.table(hook.join(up, F.col("to") == F.col("mid")).select("v", F.col("top").alias("to")), f"{name}-hook-{turn}", 2 * n)
         hooks.append(hook)
         left, right = hook.select(F.col("v").alias("a"), F.col("to").alias("x")), hook.select(F.col("v").alias("b"), F.col("to").alias("y"))
         moved = edges.join(left, "a").join(right, "b").where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()

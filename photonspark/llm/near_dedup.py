@@ -2,30 +2,33 @@
 
 1. A document's set: distinct shingles of ``words`` words (A-Z lowered), as 64-bit hashes. It gives
    a 128-bit digest, ``COORDINATES`` minhashes and a sketch of two bits of each. Documents with the
-   same digest are one class; only its smallest id goes on.
-2. Chosen paths: ``trees`` independent trees branch every representative by ``BRANCH`` minwise
-   tokens a node, chosen by a hash of the node; a path of ``DEPTH`` tokens is a leaf. A pair of
-   Jaccard similarity J shares a leaf of one tree with probability p(DEPTH), p(0) = 1,
-   p(d) = 1 - (1 - J p(d - 1))**BRANCH; ``trees`` is the least number that reaches the target recall.
+   same digest are one class; only its smallest id goes on. Classes of one id are linked at once.
+2. Chosen paths: ``trees`` independent trees, each with minhashes of its own, branch every
+   representative by ``BRANCH`` minwise tokens a node, chosen by a hash of the node; a path of
+   ``DEPTH`` tokens is a leaf. A pair of Jaccard similarity J shares a leaf of one tree with
+   probability p(DEPTH), p(0) = 1, p(d) = 1 - (1 - J p(d - 1))**BRANCH; ``trees`` is the least
+   number that reaches the target recall.
 3. Star rounds: in every node that holds several components, each member is paired with the node's
    pivot (other pivots every round), at most one pair a document and round. Pairs pass a size and a
-   sketch filter, are confirmed on the full shingle sets of the texts, and merge components. A
-   large group of near copies costs one pair a member and round this way.
+   sketch filter, are confirmed on the shingles of the texts, and merge components. A large group
+   of near copies costs one pair a member and round this way.
 4. Nodes of at most ``LEAF`` members that still hold several components are compared exhaustively:
    rows with a close partner of another component in a node make families (connected through
-   nodes); one task holds the sets of a family of at most ``FAMILY`` rows and counts the shared
-   shingles of all rows outside its largest component with all others, so no pair becomes a row.
-   Larger families are compared pair by pair inside their nodes. Nodes of over ``LEAF`` members
-   branch further and run through 3 and 4 again; those left at ``MAX_DEPTH`` are compared
-   whatever their size, so nothing is cut off.
-
-A hot class, node or pivot meets partial aggregations and joins that adaptive execution can
-split; only links and labels grow with it, linearly.
-
-Defined results: null or empty texts have an empty set and are linked with nothing; texts with
-fewer words than a shingle are one shingle of the whole sequence; rows with the same id are one
-vertex; rows with a null id keep a null component and are kept; an empty table gives an empty
-result. Other input columns are not read.
+   nodes). A family's rows outside its largest component ask, all its rows are held; both sides are
+   cut into blocks of at most ``HELD`` shingles, and a task compares one block of askers with one
+   block of held rows, so its memory does not depend on the family. Tasks return links that join
+   components, confirmed on the shingles of the texts, and no pairs. Nodes of over ``LEAF`` members
+   branch further and run through 3 and 4 again; those left at ``MAX_DEPTH`` are compared whatever
+   their size, so nothing is cut off.
+
+A hot class or pivot meets partial aggregations; a hot node is dealt to tasks of about ``SPREAD``
+rows; only links and labels grow with it, linearly.
+
+Defined results: null or empty texts have an empty set and are linked with nothing, even where
+their id repeats; texts with fewer words than a shingle are one shingle of the whole sequence; rows
+of one id (with words) are one vertex, whose links are those of all its texts; rows with a null id
+link nothing, keep a null component and are kept; repeated rows get the same result each; an empty
+table gives an empty result. Other input columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,7 +51,11 @@ DEPTH = 3
 LEAF = 2048
 MAX_DEPTH = 16
 STAR_ROUNDS = 2
-FAMILY = 8192
+#: Shingles of a block of an exhaustive comparison, where every row counts as ``ROW_COST`` more.
+HELD = 600_000
+ROW_COST = 100
+#: Rows of one node that a task of a join by node gets.
+SPREAD = 512
 SKETCHES = ["s0", "s1", "s2", "s3"]
 SMALL_ROWS = 1_000_000
 
@@ -71,7 +78,7 @@ class WordHashes(dict):
     """Word -> 64-bit hash, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word)
         return found
@@ -94,11 +101,30 @@ def shingle_set(words: list[bytes], size: int, hashes: dict[bytes, int]) -> np.n
 
 
 def exact_shingles(text: str | None, size: int) -> set[tuple[bytes, ...]]:
+    """The set that a text stands for."""
     words = tokens(text)
     width = min(size, len(words))
     return set(zip(*(words[k:] for k in range(width))))
 
 
+def similar(left: list[bytes], right: list[bytes], size: int, percent: int) -> bool:
+    """Whether two word sequences share enough of their distinct shingles; exact, without hashes."""
+    if min(len(left), len(right)) < size:
+        return bool(left) and left == right
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for words in (left, right) for w in words), np.int64, len(left) + len(right))
+    code, most = ids, len(number)
+    for k in range(1, size):
+        if most * len(number) >= 1 << 62:
+            code = np.unique(code, return_inverse=True)[1]
+            most = int(code.max()) + 1
+        code = code[:-1] * len(number) + ids[k:]
+        most *= len(number)
+    mine, other = np.unique(code[: len(left) - size + 1]), np.unique(code[len(left) :])
+    both = len(np.intersect1d(mine, other, assume_unique=True))
+    return 100 * both >= percent * (len(mine) + len(other) - both)
+
+
 def minhashes(shingles: np.ndarray) -> np.ndarray:
     best = np.full(COORDINATES, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(shingles), 2048):
@@ -108,15 +134,16 @@ def minhashes(shingles: np.ndarray) -> np.ndarray:
 
 
 def paths(signatures: np.ndarray, trees: int) -> np.ndarray:
-    """Leaf ids of all trees: one row a document."""
-    rows = np.arange(len(signatures))[:, None]
+    """Leaf ids of all trees: one row a document. A tree has minhashes of its own (up to 16 trees), and the branches of a node differ."""
+    rows, own = np.arange(len(signatures))[:, None], max(8, COORDINATES // trees)
     nodes = np.broadcast_to(mix(np.arange(trees, dtype=np.uint64)), (len(signatures), trees))
+    first = np.arange(trees, dtype=np.uint64) * _U(own)
     for _ in range(DEPTH):
-        children = []
+        children, chosen = [], mix(nodes ^ _ONE) % _U(own)
         for k in range(BRANCH):
-            token = (mix(nodes ^ _U(k + 1)) % _U(COORDINATES)).astype(np.int64)
+            token = ((first + (chosen + _U(k * own // BRANCH)) % _U(own)) % _U(COORDINATES)).astype(np.int64)
             children.append(mix(nodes ^ mix(signatures[rows, token].astype(np.uint64) | (token.astype(np.uint64) << _U(32)))))
-        nodes = np.concatenate(children, axis=1)
+        nodes, first = np.concatenate(children, axis=1), np.tile(first, BRANCH)
     return nodes
 
 
@@ -154,62 +181,84 @@ def _fingerprints(docs: DataFrame, size: int, trees: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _close(percent: int) -> Column:
-    """Size and sketch filter between a row ``l`` and a row ``r``."""
-    c = F.col
-    fit = (100 * F.least(c("l.n"), c("r.n")) >= percent * F.greatest(c("l.n"), c("r.n")))
-    apart = sum((F.bit_count(c(f"l.{s}").bitwiseXOR(c(f"r.{s}"))) for s in SKETCHES), F.lit(0))
-    return fit & (apart <= sketch_limit(percent / 100))
+def _close(percent: int, mine: str = "", other: str = "h_") -> Column:
+    """Size and sketch filter between the columns of two rows, told apart by their prefixes."""
+    n, m = F.col(f"{mine}n"), F.col(f"{other}n")
+    apart = sum((F.bit_count(F.col(f"{mine}{s}").bitwiseXOR(F.col(f"{other}{s}"))) for s in SKETCHES), F.lit(0))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart <= sketch_limit(percent / 100))
 
 
-def shared_counts(sets: list[np.ndarray], rows: np.ndarray, dense_from: int = 9, columns: int = 2048) -> np.ndarray:
-    """Sizes of the intersections of the sets ``rows`` with all sets.
+class Overlaps:
+    """Sizes of intersections in a bounded list of sets, some rows at a time.
 
     Shingles of few sets are counted by their lists of sets, frequent ones by a matrix product.
     """
-    out = np.zeros((len(rows), len(sets)), dtype=np.float32)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    value = np.concatenate(sets)
-    order = np.argsort(value, kind="stable")
-    owner = owner[order]
-    starts = np.flatnonzero(np.r_[True, np.diff(value[order].view(np.int64)) != 0])
-    times = np.diff(np.r_[starts, len(owner)])
-    place = np.full(len(sets), -1)
-    place[rows] = np.arange(len(rows))
-    for n in range(1, dense_from):
-        lists = owner[starts[times == n][:, None] + np.arange(n)]
-        for k in range(n):
-            mine = place[lists[:, k]]
-            use = mine >= 0
-            for j in range(n):
-                np.add.at(out, (mine[use], lists[use, j]), 1)
-    often = np.flatnonzero(times >= dense_from)
-    for at in range(0, len(often), columns):
-        part = often[at : at + columns]
-        size = times[part]
-        every = np.zeros((len(sets), len(part)), dtype=np.float32)
-        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        every[owner[np.repeat(starts[part], size) + within], np.repeat(np.arange(len(part)), size)] = 1
-        out += every[rows] @ every.T
-    return out
-
-
-def family_links(sets: list[np.ndarray], components: np.ndarray, percent: int, block: int = 1024) -> list[tuple[int, int]]:
-    """One link for each row outside the largest component and each other component that it reaches."""
-    names, number, sizes = np.unique(components, return_inverse=True, return_counts=True)
-    lengths = np.array([len(s) for s in sets])
-    outside = np.flatnonzero(number != sizes.argmax())
-    links = []
-    for at in range(0, len(outside), block):
-        rows = outside[at : at + block]
-        shared = np.rint(shared_counts(sets, rows)).astype(np.int64)
-        close = (100 * shared >= percent * (lengths[rows, None] + lengths[None, :] - shared)) & (number[rows, None] != number[None, :])
-        mine, other = np.nonzero(close)
-        _, first = np.unique(mine * len(names) + number[other], return_index=True)
-        links += [(int(rows[mine[k]]), int(other[k])) for k in first]
+
+    def __init__(self, sets: list[np.ndarray], dense_from: int = 9):
+        value = np.concatenate(sets)
+        order = np.argsort(value, kind="stable")
+        value = value[order]
+        self.owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])[order]
+        del order
+        self.n, self.starts = len(sets), np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        self.times = np.diff(np.r_[self.starts, len(value)])
+        self.rare = [self.owner[self.starts[self.times == n][:, None] + np.arange(n)] for n in range(2, dense_from)]
+        self.often = np.flatnonzero(self.times >= dense_from)
+
+    def counts(self, rows: np.ndarray, columns: int = 512) -> np.ndarray:
+        """Shared elements of the sets ``rows`` with all sets (of a set with itself: too few, and of no use)."""
+        out = np.zeros((len(rows), self.n), dtype=np.float32)
+        place = np.full(self.n, -1)
+        place[rows] = np.arange(len(rows))
+        for lists in self.rare:
+            for k in range(lists.shape[1]):
+                mine = place[lists[:, k]]
+                use = np.flatnonzero(mine >= 0)
+                np.add.at(out.ravel(), (mine[use, None] * self.n + lists[use]).ravel(), 1)
+        for at in range(0, len(self.often), columns):
+            part = self.often[at : at + columns]
+            size = self.times[part]
+            every = np.zeros((self.n, len(part)), dtype=np.float32)
+            within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            every[self.owner[np.repeat(self.starts[part], size) + within], np.repeat(np.arange(len(part)), size)] = 1
+            out += every[rows] @ every.T
+        return out
+
+
+def family_links(texts: list[bytes], components: list, asks: list[bool], words: int, percent: int, block: int = 256) -> list[tuple[int, int]]:
+    """Links of the rows that ask, as few as join what their links join; each is confirmed on the words."""
+    hashes, parts = WordHashes(), [text.split() for text in texts]
+    sets = [shingle_set(p, words, hashes) for p in parts]
+    del parts
+    label = np.unique(np.array(components), return_inverse=True)[1]
+    lengths, asking = np.array([len(s) for s in sets]), np.flatnonzero(asks)
+    overlaps, links = Overlaps(sets), []
+    del sets
+    for at in range(0, len(asking), block):
+        rows = asking[at : at + block]
+        if len(np.unique(label)) < 2:
+            break
+        shared = np.rint(overlaps.counts(rows)).astype(np.int32)
+        close = 100 * shared.astype(np.int64) >= percent * (lengths[rows, None] + lengths[None, :] - shared)
+        for k, row in enumerate(rows):
+            others = np.flatnonzero(close[k] & (label != label[row]))
+            while len(others):
+                other, others = others[0], others[1:]
+                if similar(texts[row].split(), texts[other].split(), words, percent):
+                    links.append((int(row), int(other)))
+                    label[label == label[other]] = label[row]
+                    others = others[label[others] != label[row]]
     return links
 
 
+def spread_join(rows: DataFrame, per_node: DataFrame, how: str = "inner") -> DataFrame:
+    """Join rows with at most one row a node, both with the node's ``size``; a large node is dealt to several tasks."""
+    deals = F.ceil(F.col("size") / SPREAD)
+    dealt = rows.withColumn("deal", F.pmod(F.xxhash64("rep"), deals))
+    copies = per_node.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), deals - 1))).drop("size")
+    return dealt.join(copies, ["node", "deal"], how).drop("deal")
+
+
 class Join:
     """State of one run: representatives, texts, links and components."""
 
@@ -227,6 +276,19 @@ class Join:
         self.tried: DataFrame | None = None
         self.labels: DataFrame | None = None
         self.turn = self.n_live = self.n_links = 0
+        self.link_ids(full)
+
+    def link_ids(self, full: Column) -> None:
+        """Rows of one id with different texts are one vertex: link the representatives of their classes."""
+        differ = (F.min("d0") != F.max("d0")) | (F.min("d1") != F.max("d1"))
+        several = self.members.where(full).groupBy("doc_id").agg(differ.alias("differ")).where("differ").select("doc_id")
+        several = self.work.table(several, "several")
+        n = several.count()
+        if n:
+            held = self.members.where(full).join(several, "doc_id", "left_semi").join(self.classes, ["d0", "d1"]).select("doc_id", "rep").distinct()
+            held = self.work.table(held, "held")
+            least = held.groupBy("doc_id").agg(F.min("rep").alias("least"))
+            self.merge(held.join(least, "doc_id").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct(), held.count())
 
     def name(self, what: str) -> str:
         return f"{what}-{self.turn}"
@@ -245,24 +307,17 @@ class Join:
             return live.withColumn("component", F.col("rep"))
         labelled = live.join(self.labels, F.col("rep") == F.col("vertex"), "left").withColumn("component", F.coalesce("label", "rep")).drop("vertex", "label")
         labelled = self.work.table(labelled, self.name("labelled"), self.n_live)
-        mixed = labelled.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("node")
-        return self.work.table(labelled.join(mixed, "node", "left_semi"), self.name("mixed"), self.n_live)
+        mixed = labelled.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("size").alias("size")).where("low != high").select("node", "size")
+        return self.work.table(spread_join(labelled, mixed, "left_semi"), self.name("mixed"), self.n_live)
 
     # -- pairs ---------------------------------------------------------------------------------
     def star(self, rows: DataFrame, seed: int) -> DataFrame:
         """At most one pair for each representative: the first pivot, in one order of all, among those of its nodes."""
         ranked = rows.withColumn("rank", F.xxhash64(F.lit(seed), "rep"))
-        pivots = ranked.groupBy("node").agg(F.min("rank").alias("rank"))
-        heads = ranked.join(pivots, ["node", "rank"], "left_semi").alias("r")
-        pairs = ranked.alias("l").join(heads, (F.col("l.node") == F.col("r.node")) & (F.col("l.component") != F.col("r.component")) & _close(self.percent))
-        first = pairs.groupBy(F.col("l.rep").alias("x")).agg(F.min("r.rank").alias("rank"))
-        found = pairs.select(F.col("l.rep").alias("x"), F.col("r.rank").alias("rank"), F.col("r.rep").alias("p"))
-        return found.join(first, ["x", "rank"], "left_semi").select("x", "p").distinct()
-
-    def across(self, rows: DataFrame) -> DataFrame:
-        """Every close pair of different components that share a node."""
-        both = (F.col("l.node") == F.col("r.node")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.component") != F.col("r.component"))
-        return rows.alias("l").join(rows.alias("r"), both & _close(self.percent)).select(F.col("l.rep").alias("x"), F.col("r.rep").alias("p")).distinct()
+        head = [F.min_by(c, "rank").alias(f"h_{c}") for c in ("rep", "component", "n", *SKETCHES)]
+        heads = ranked.groupBy("node").agg(F.max("size").alias("size"), F.min("rank").alias("h_rank"), *head)
+        other = (F.col("component") != F.col("h_component")) & _close(self.percent)
+        return spread_join(ranked, heads).where(other).groupBy(F.col("rep").alias("x")).agg(F.min_by("h_rep", "h_rank").alias("p"))
 
     # -- confirmation --------------------------------------------------------------------------
     def confirm(self, pairs: DataFrame) -> bool:
@@ -282,16 +337,8 @@ class Join:
         size, percent = self.words, self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last: tuple[str, set] = ("", set())
             for batch in batches:
-                keep = []
-                for ta, tb in zip(batch.column(2), batch.column(3)):
-                    ta, tb = ta.as_py(), tb.as_py()
-                    if last[0] != ta:
-                        last = (ta, exact_shingles(ta, size))
-                    mine, other = last[1], exact_shingles(tb, size)
-                    both = len(mine & other)
-                    keep.append(both > 0 and 100 * both >= percent * (len(mine) + len(other) - both))
+                keep = [similar(tokens(ta.as_py()), tokens(tb.as_py()), size, percent) for ta, tb in zip(batch.column(2), batch.column(3))]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         kind = dict(self.docs.dtypes)["doc_id"]
@@ -325,7 +372,7 @@ class Join:
     def families(self, rows: DataFrame) -> None:
         """Compare nodes exhaustively and merge what is linked."""
         self.turn += 1
-        near = (F.col("l.node") == F.col("r.node")) & (F.col("l.component") != F.col("r.component")) & _close(self.percent)
+        near = (F.col("l.node") == F.col("r.node")) & (F.col("l.component") != F.col("r.component")) & _close(self.percent, "l.", "r.")
         close = self.work.table(rows.alias("l").join(rows.alias("r"), near, "left_semi"), self.name("close"), self.n_live)
         n_close = close.count()
         if not n_close:
@@ -333,41 +380,53 @@ class Join:
         heads = close.groupBy("node").agg(F.min("rep").alias("head"))
         edges = close.join(heads, "node").select(F.col("rep").alias("a"), F.col("head").alias("b"))
         label = contract(self.work, edges, self.name("family"), n_close)
-        members = close.select("rep", "component").distinct().join(label, F.col("rep") == F.col("vertex")).select("rep", "component", F.col("label").alias("family"))
-        sized = self.work.table(members.join(members.groupBy("family").agg(F.count("*").alias("many")), "family"), self.name("members"), n_close)
-        small = sized.where(F.col("many") <= FAMILY)
-        n = small.count()
+        members = close.select("rep", "n", "component").distinct().join(label, F.col("rep") == F.col("vertex")).select("rep", "n", "component", F.col("label").alias("family"))
+        members = self.work.table(members, self.name("members"), n_close)
+        n = members.count()
+        tasks = self.tasks(members)
+        texts = self.texts_of(members.select(F.col("rep").alias("doc_id")), n, self.name("texts"))
         size, percent = self.words, self.percent
-        texts = self.texts_of(small.select(F.col("rep").alias("doc_id")), n, self.name("texts"))
+        kind = dict(self.docs.dtypes)["doc_id"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, family, reps, parts, sets = WordHashes(), None, [], [], []
+            own, reps, parts, asks, texts = None, [], [], [], []
 
             def links() -> pa.RecordBatch:
-                names = np.unique(np.array(parts), return_inverse=True)[1]
-                found = family_links(sets, names, percent) if len(sets) > 1 else []
-                return pa.RecordBatch.from_arrays([pa.array([reps[p[k]] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                found = family_links(texts, parts, asks, size, percent) if len(texts) > 1 else []
+                return pa.RecordBatch.from_arrays([pa.array([reps[p[k]] for p in found], reps_type) for k in (0, 1)], names=["a", "b"])
 
             for batch in batches:
-                for own, rep, part, text in zip(*(c.to_pylist() for c in batch.columns)):
-                    if own != family:
-                        if sets:
+                reps_type = batch.column(3).type
+                for *task, rep, part, ask, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    if task != own:
+                        if texts:
                             yield links()
-                        family, reps, parts, sets = own, [], [], []
+                        own, reps, parts, asks, texts = task, [], [], [], []
                     reps.append(rep)
                     parts.append(part)
-                    sets.append(shingle_set(tokens(text), size, hashes))
-            if sets:
+                    asks.append(ask)
+                    texts.append(b" ".join(tokens(text)))
+            if texts:
                 yield links()
 
-        held = small.join(texts, F.col("rep") == F.col("doc_id")).select("family", "rep", "component", "text")
-        ordered = held.repartition("family").sortWithinPartitions("family", "rep")
-        self.merge(ordered.mapInArrow(run, "a long, b long").distinct(), n)
+        held = tasks.join(texts, F.col("rep") == F.col("doc_id")).select("family", "q", "d", "rep", "component", "asks", "text")
+        ordered = held.repartition("family", "q", "d").sortWithinPartitions("family", "q", "d", "rep")
+        self.merge(ordered.mapInArrow(run, f"a {kind}, b {kind}").distinct(), n)
         self.work.drop(self.name("texts"))
-        if n < sized.count():
-            large = sized.where(F.col("many") > FAMILY).select(F.col("rep").alias("of"))
-            self.confirm(self.across(close.join(large, F.col("rep") == F.col("of"), "left_semi")))
 
+    def tasks(self, members: DataFrame) -> DataFrame:
+        """(family, q, d, rep, component, asks): the rows of each task, which compares block q of a family's askers with block d of its rows."""
+        order = F.struct("many", "component")
+        parts = members.groupBy("family", "component").agg(F.count("*").alias("many"), F.sum(F.col("n") + ROW_COST).alias("weight"))
+        whole = parts.groupBy("family").agg(F.max_by("component", order).alias("largest"), F.sum("weight").alias("all"), (F.sum("weight") - F.max_by("weight", order)).alias("outside"))
+        blocks = whole.select("family", "largest", F.ceil(F.col("outside") / HELD).alias("n_q"), F.ceil(F.col("all") / HELD).alias("n_d"))
+        placed = members.join(blocks, "family").withColumn("asks", F.col("component") != F.col("largest"))
+        alone = (F.col("n_d") == 1) & (F.col("n_q") == 1)
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        one = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "rep"), F.col(n))
+        held = placed.select("family", every("n_q").alias("q"), one("n_d", 0).alias("d"), "rep", "component", (F.col("asks") & alone).alias("asks"))
+        asking = placed.where(F.col("asks") & ~alone).select("family", one("n_q", 1).alias("q"), every("n_d").alias("d"), "rep", "component", "asks")
+        return held.unionByName(asking)
 
     def branch(self, rows: DataFrame) -> DataFrame:
         """Children of nodes: each row goes down ``BRANCH`` tokens that the node chooses."""
@@ -394,7 +453,7 @@ class Join:
         reps = self.members.join(self.classes, ["d0", "d1"], "left")
         if labels is not None:
             reps = reps.join(labels, F.col("rep") == F.col("vertex"), "left").withColumn("rep", F.coalesce("label", "rep"))
-        found = reps.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
+        found = reps.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("component_id"))
         return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
