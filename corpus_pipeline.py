@@ -1,9 +1,18 @@
-"""The corpus pipeline: language ID, quality rules, near-dedup, decontamination and BPE over ``documents``."""
+"""The corpus pipeline: language ID, quality rules, near-dedup, decontamination and BPE over ``documents``.
+
+Defined results: a null or empty text, or one without a letter, goes in the first stage; a null
+``lang``, ``source`` or ``n_chars`` changes nothing but what language ID learns from; rows with a
+null id are documents of their own, which near-dedup keeps and decontamination judges by their
+text; rows of one id are one document, which stays or goes as a whole in near-dedup and of which
+the least row stays (so repeated rows are one); of equal texts the smallest id stays; columns other
+than those of ``COLUMNS`` are not carried along, whatever their names; empty tables give an empty
+result.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonspark.llm import byte_bpe, decontaminate, language_id, near_dedup, quality_rules
@@ -11,15 +20,13 @@ from photonspark.llm.workspace import Workspace, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-
+#: Ids (two numbers each) that are broadcast at most.
 SMALL_IDS = 2_000_000
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows whose id is not in ``dropped``: a broadcast of at most ``SMALL_IDS`` ids, else a shuffled anti-join."""
-    work = Workspace(docs.sparkSession, "dropped")
-    ids = work.table(dropped, "ids")
-    same = F.col("doc_id").eqNullSafe(F.col("dropped_id"))
+def without(docs: DataFrame, dropped: DataFrame, same: Column) -> DataFrame:
+    """Rows that match no row of ``dropped``: a broadcast of at most ``SMALL_IDS`` ids, else a shuffled anti-join."""
+    ids = Workspace(docs.sparkSession, "dropped").table(dropped, "ids")
     return docs.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, same, "left_anti")
 
 
@@ -39,10 +46,9 @@ def one_per_id(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language (lang ID says other than ``und``)."""
+    """Documents whose text is in one of the learned languages; all with a letter if there is no ``lang`` to learn from."""
     model = language_id.fit(language_id.training_rows(docs, F.lit(True)))
-    found = language_id.identify(docs, model, keys=tuple(COLUMNS))
-    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*COLUMNS)
+    return language_id.identify(docs, model, keys=tuple(COLUMNS)).where("accepted").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,13 +59,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest id) of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
     dropped = near_dedup.near_duplicates(docs, words=5).where("NOT kept").select(F.col("doc_id").alias("dropped_id"))
-    return one_per_id(without(docs, dropped)).select(*COLUMNS)
+    return one_per_id(without(docs, dropped, F.col("doc_id") == F.col("dropped_id"))).select(*COLUMNS)
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    leaks = decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, leaks.select(F.col("doc_id").alias("dropped_id")).distinct()).select(*COLUMNS)
+    leaks = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+    dropped = leaks.select(F.col("doc_id").alias("dropped_id"), F.col("version").alias("dropped_version")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("dropped_id")) & (F.xxhash64("text") == F.col("dropped_version"))
+    return without(docs, dropped, same).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
