@@ -32,7 +32,7 @@ from photonspark.llm.workspace import per_row
 
 UNDETERMINED = "und"
 #: How far from chance to certainty the score of a text must be to be accepted.
-ABOVE_CHANCE = 0.15
+ABOVE_CHANCE = 0.08
 #: Columns of n-grams in one matrix product.
 BLOCK_GRAMS = 8192
 
