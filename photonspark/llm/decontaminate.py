@@ -15,12 +15,14 @@ input columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photonspark.llm.workspace import SPACES, Workspace, ascii_lower
 
+#: Keys or candidates (a few numbers each), and bytes of item shingles, that are broadcast at most.
 SMALL_KEYS = 1_000_000
+SMALL_BYTES = 64 << 20
 
 
 def shingles(text: str, words: int, each) -> Column:
@@ -49,19 +51,19 @@ def sliding_type(each) -> str:
 def sketches(items: DataFrame, words: int, percent: int) -> DataFrame:
     """(h, item_id, item): sketch hashes of the items; ``item`` tells rows of one id apart."""
     sets = items.select("item_id", F.xxhash64("text").alias("item"), F.array_distinct(shingles("text", words, hashed)).alias("h")).where(F.size("h") > 0)
-    part = F.floor(F.log2(F.size("h")))
-    missed = F.floor(F.max(F.size("h")).over(Window.partitionBy("part")) * (100 - percent) / 100).cast("int")
-    sized = sets.withColumn("part", part).withColumn("k", missed + 1)
-    return sized.select("item_id", "item", F.explode(F.slice(F.array_sort("h"), 1, F.col("k"))).alias("h"))
+    sized = sets.withColumn("part", F.floor(F.log2(F.size("h"))))
+    # one row a size class: at most 31 of them
+    largest = sized.groupBy("part").agg(F.max(F.size("h")).alias("largest"))
+    missed = F.floor(F.col("largest") * (100 - percent) / 100).cast("int")
+    return sized.join(F.broadcast(largest), "part").select("item_id", "item", F.explode(F.slice(F.array_sort("h"), 1, missed + 1)).alias("h"))
 
 
-def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, item_id, n_item, n_shared and containment of every leak."""
+def leaks(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, version, item_id, n_item and n_shared of every leak; ``version`` (of the text) tells rows of one id apart."""
     spark = docs.sparkSession
     work = Workspace(spark, "decontaminate")
     keys = work.table(sketches(items, words, percent), "keys")
-    bounded = keys.count() <= SMALL_KEYS  # checked; beyond it both sides are shuffled by hash
-    key = F.broadcast(keys) if bounded else keys
+    key = F.broadcast(keys) if keys.count() <= SMALL_KEYS else keys  # checked; beyond it both sides are shuffled by hash
     found = docs.select("doc_id", F.xxhash64("text").alias("version"), F.explode(shingles("text", words, hashed)).alias("h"))
     pairs = work.table(found.join(key, "h").select("doc_id", "version", "item_id", "item").distinct(), "candidates")
     few = pairs.count() <= SMALL_KEYS
@@ -69,10 +71,17 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, percent:
     sides = pairs.select(F.col("doc_id").alias("c_doc"), F.col("version").alias("c_version"), F.col("item_id").alias("c_item"), "item")
     texts = docs.select("doc_id", "text")
     near = texts.join(F.broadcast(sides) if few else sides, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.xxhash64("text") == F.col("c_version")))
-    grams = items.select("item_id", F.xxhash64("text").alias("i_item"), F.array_distinct(shingles("text", words, joined)).alias("i_grams")).distinct()
-    both = near.join(F.broadcast(grams) if bounded else grams, F.col("c_item").eqNullSafe(F.col("item_id")) & (F.col("item") == F.col("i_item")))
+    wanted = pairs.select(F.col("item").alias("w_item")).distinct()
+    named = items.select("item_id", F.xxhash64("text").alias("i_item"), "text").join(wanted, F.col("i_item") == F.col("w_item"), "left_semi")
+    grams = work.table(named.select("item_id", "i_item", F.array_distinct(shingles("text", words, joined)).alias("i_grams")).distinct(), "grams")
+    bytes_held = grams.agg(F.coalesce(F.sum(F.aggregate("i_grams", F.lit(0).cast("long"), lambda n, g: n + F.octet_length(g) + 16)), F.lit(0))).first()[0]
+    both = near.join(F.broadcast(grams) if bytes_held <= SMALL_BYTES else grams, F.col("c_item").eqNullSafe(F.col("item_id")) & (F.col("item") == F.col("i_item")))
     shared = F.size(F.array_intersect("i_grams", shingles("text", words, joined)))
-    counted = both.select("doc_id", "item_id", F.size("i_grams").cast("long").alias("n_item"), shared.cast("long").alias("n_shared"))
-    leaks = counted.where(100 * F.col("n_shared") >= percent * F.col("n_item"))
-    best = leaks.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
+    counted = both.select("doc_id", F.col("c_version").alias("version"), "item_id", F.size("i_grams").cast("long").alias("n_item"), shared.cast("long").alias("n_shared"))
+    return counted.where(100 * F.col("n_shared") >= percent * F.col("n_item"))
+
+
+def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, item_id, n_item, n_shared and containment of every leak."""
+    best = leaks(docs, items, words, percent).groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
     return best.withColumn("containment", F.col("n_shared") / F.col("n_item"))
