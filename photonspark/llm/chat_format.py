@@ -6,7 +6,7 @@ a result follows its call, a call may follow a result. The topological level is
 that chain, found by pointer doubling (each round doubles the distance, so a chain of n messages
 takes log2(n) rounds); sorting by (conversation, level, turn) is a topological order. Arguments
 are parsed as variants and validated against the tool's parameters (known, required, of the
-right type). Messages are serialised as canonical JSON: keys sorted, no white space.
+right type, within limits). Messages are serialised as canonical JSON: keys sorted, no white space.
 
 Defined results: an identifier with a null part is null and links nothing; a call without a
 result and a result without a call have a null ``linked_turn``; of repeated identifiers the
@@ -17,6 +17,8 @@ input columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,20 +28,29 @@ from photonspark.llm.workspace import Workspace
 TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|DECIMAL.*)$", "boolean": "^BOOLEAN$", "object": "^OBJECT.*", "array": "^ARRAY.*"}
 
 
-def valid_arguments(arguments: str, parameters: dict[str, tuple[str, bool]]) -> Column:
-    """Whether a JSON column holds an object with known, required and well-typed parameters.
+#: A tool's parameters: name -> (JSON type, required, limits by the names of JSON schema).
+Parameters = dict[str, tuple[str, bool, dict[str, float]]]
 
-    ``parameters``: name -> (JSON type, required).
-    """
+
+def within(value: Column, name: str, limits: dict[str, float]) -> Column:
+    """Whether a parameter keeps its limits; null if it is absent."""
+    number = F.try_variant_get(value, f"$.{name}", "double")
+    length = F.length(F.try_variant_get(value, f"$.{name}", "string"))
+    tests = {"minimum": lambda x: number >= x, "maximum": lambda x: number <= x, "minLength": lambda x: length >= x, "maxLength": lambda x: length <= x}
+    return reduce(Column.__and__, (tests[k](F.lit(x)) for k, x in limits.items()), F.lit(True))
+
+
+def valid_arguments(arguments: str, parameters: Parameters) -> Column:
+    """Whether a JSON column holds an object with known, required and well-typed parameters within their limits."""
     value = F.try_parse_json(arguments)
     kind = F.schema_of_variant(value)
     ok = kind.startswith("OBJECT")
     known = F.array(*(F.lit(p) for p in parameters))
     names = F.json_object_keys(F.col(arguments))
     ok &= F.coalesce(F.size(F.array_except(names, known)) == 0, F.lit(False))
-    for name, (json_type, required) in parameters.items():
+    for name, (json_type, required, limits) in parameters.items():
         inner = F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant"))
-        fits = inner.rlike(TYPES[json_type])
+        fits = inner.rlike(TYPES[json_type]) & within(value, name, limits)
         ok &= F.coalesce(fits, F.lit(not required))
     return F.coalesce(ok, F.lit(False))
 
@@ -112,7 +123,7 @@ def from_turns(conversations: DataFrame) -> DataFrame:
     )
 
 
-def format_chats(messages: DataFrame, parameters: dict[str, tuple[str, bool]], tool: str) -> DataFrame:
+def format_chats(messages: DataFrame, parameters: Parameters, tool: str) -> DataFrame:
     """Linked, levelled, validated and serialised messages."""
     work = Workspace(messages.sparkSession, "chat")
     linked = link(work, messages)

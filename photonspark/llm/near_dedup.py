@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photonspark.llm.components import contract
-from photonspark.llm.workspace import Workspace
+from photonspark.llm.workspace import Workspace, released
 
 COORDINATES = 128
 BRANCH = 2
@@ -52,7 +52,7 @@ LEAF = 2048
 MAX_DEPTH = 16
 STAR_ROUNDS = 2
 #: Shingles of a block of an exhaustive comparison, where every row counts as ``ROW_COST`` more.
-HELD = 600_000
+HELD = 250_000
 ROW_COST = 100
 #: Rows of one node that a task of a join by node gets.
 SPREAD = 512
@@ -178,7 +178,7 @@ def _fingerprints(docs: DataFrame, size: int, trees: int) -> DataFrame:
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_shingles long, d0 long, d1 long, {', '.join(f'{s} long' for s in SKETCHES)}, signature array<int>, nodes array<long>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(released(run), schema)
 
 
 def _close(percent: int, mine: str = "", other: str = "h_") -> Column:
@@ -343,7 +343,7 @@ class Join:
 
         kind = dict(self.docs.dtypes)["doc_id"]
         joined = ordered.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-        self.merge(joined.mapInArrow(run, f"a {kind}, b {kind}").distinct(), n)
+        self.merge(joined.mapInArrow(released(run), f"a {kind}, b {kind}").distinct(), n)
         self.work.drop(self.name("texts"))
         return True
 
@@ -411,7 +411,7 @@ class Join:
 
         held = tasks.join(texts, F.col("rep") == F.col("doc_id")).select("family", "q", "d", "rep", "component", "asks", "text")
         ordered = held.repartition("family", "q", "d").sortWithinPartitions("family", "q", "d", "rep")
-        self.merge(ordered.mapInArrow(run, f"a {kind}, b {kind}").distinct(), n)
+        self.merge(ordered.mapInArrow(released(run), f"a {kind}, b {kind}").distinct(), n)
         self.work.drop(self.name("texts"))
 
     def tasks(self, members: DataFrame) -> DataFrame:

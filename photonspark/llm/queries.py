@@ -13,18 +13,25 @@ from photonspark.llm import byte_bpe, compression_quality, language_id, sql, suf
 from photonspark.llm.chat_format import format_chats, from_turns
 from photonspark.llm.decontaminate import contained_items
 from photonspark.llm.near_dedup import near_duplicates
-from photonspark.llm.quality_rules import quality_ledger
+from photonspark.llm.quality_rules import ablation, ledger, quality_ledger
 from photonspark.llm.warc import archive_pages
-from photonspark.llm.workspace import crc32_of_id, table
+from photonspark.llm.workspace import Workspace, crc32_of_id, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ledger(table(spark, sf_dir, "documents"))
 
 
+def ledger_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger is stored once; two policies and their ablations read its bits and no text."""
+    held = Workspace(spark, "ledger").table(ledger(table(spark, sf_dir, "documents")), "ledger")
+    parts = [ablation(held, name, version).select(F.lit(f"{name}@{version}").alias("policy"), "*") for name, version in (("base", 1), ("training", 1))]
+    return parts[0].unionByName(parts[1])
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = crc32_of_id() % 3 == 1
+    held_out = F.coalesce(crc32_of_id() % 3 == 1, F.lit(False))
     model = language_id.fit(language_id.training_rows(docs, ~held_out))
     return language_id.identify(docs, model).withColumn("held_out", held_out)
 
@@ -43,7 +50,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = crc32_of_id() % 7 == 2
+    held_out = F.coalesce(crc32_of_id() % 7 == 2, F.lit(False))
     return suffix_tree.score(table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
 
 
@@ -51,9 +58,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: The schema of the tool that turns call; longer texts are not valid arguments.
+REPLY = {"chars": ("integer", True, {"minimum": 0, "maximum": 300}), "text": ("string", True, {"maxLength": 300})}
+
+
 def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parameters = {"chars": ("integer", True), "text": ("string", True)}
-    return format_chats(from_turns(table(spark, sf_dir, "conversations")), parameters, "reply")
+    return format_chats(from_turns(table(spark, sf_dir, "conversations")), REPLY, "reply")
 
 
 def op9_token_orc(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
@@ -62,7 +72,7 @@ def op9_token_orc(spark: SparkSession, sf_dir: str, path: str | None = None) ->
 
 def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = crc32_of_id() % 4 == 2
+    held_out = F.coalesce(crc32_of_id() % 4 == 2, F.lit(False))
     model = compression_quality.fit(*compression_quality.training_rows(docs, table(spark, sf_dir, "labels"), ~held_out))
     return compression_quality.classify(docs, model).withColumn("held_out", held_out)
 
@@ -78,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tool_calls": op8_tool_calls,
     "op9_token_orc": op9_token_orc,
     "op10_compression_quality": op10_compression_quality,
+    "ledger_policies": ledger_policies,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -86,4 +97,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc": sql.OP5,
     "op7_decontamination": sql.OP7,
     "op8_tool_calls": sql.OP8,
+    "ledger_policies": sql.POLICIES,
 }

@@ -35,6 +35,16 @@ b AS (
 SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, 'training@1' AS policy FROM b
 """
 
+#: Rules of each policy and their bits, counted on the ledger of ``OP1``.
+POLICIES = rf"""
+WITH l AS ({OP1}),
+rules AS (SELECT unnest(['few_words', 'repeated_windows', 'symbols', 'duplicate_lines', 'shouting', 'word_length', 'few_letters']) AS rule, unnest([1, 2, 4, 8, 16, 32, 64]) AS bit),
+p AS (SELECT 'base@1' AS policy, 3 AS mask UNION ALL SELECT 'training@1', 127)
+SELECT p.policy, rule, bit::BIGINT AS bit, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits & mask = bit) AS n_only_this,
+  count(*) FILTER (fail_bits & (mask - bit) = 0) AS n_kept_without, bit_or(fail_bits & mask) FILTER (fail_bits & bit <> 0) AS fails_with
+FROM l, rules, p WHERE bit & mask <> 0 GROUP BY ALL
+"""
+
 OP3 = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
 s AS (
@@ -96,7 +106,7 @@ lv(name, level) AS (
   UNION ALL
   SELECT kind || ' ' || call_id, level + 1 FROM lv JOIN node ON node.parent = lv.name)
 SELECT conv_id, turn, role, m.kind, m.call_id, linked_turn, coalesce(level, 0) AS level,
-  CASE WHEN m.kind = 'call' THEN text IS NOT NULL END AS valid,
+  CASE WHEN m.kind = 'call' THEN text IS NOT NULL AND len(coalesce(text, '')) <= 300 END AS valid,
   '{' || CASE WHEN m.kind = 'call' THEN '"arguments":{"chars":' || len(coalesce(text, '')) || ',"text":' || to_json(text)::VARCHAR || '},' ELSE '"content":' || to_json(text)::VARCHAR || ',' END
     || '"conversation":' || conv_id || ',' || CASE WHEN m.call_id IS NULL THEN '' ELSE '"id":"' || m.call_id || '",' END
     || '"kind":"' || m.kind || '","level":' || coalesce(level, 0) || ',' || CASE WHEN m.kind = 'call' THEN '"name":"reply",' ELSE '' END

@@ -8,6 +8,7 @@ costs a re-read and never a lost block.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -89,6 +90,20 @@ class Workspace:
             pass
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A kernel whose worker gives freed memory back to the system at the end of a task; workers live on between stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return whole
+
+
 def per_row(df: DataFrame, columns: list[str], schema: str, kernel: Callable[[dict[str, list]], dict[str, list]], rows: int = 1024) -> DataFrame:
     """Apply ``kernel`` to lists of the named columns, a bounded block of rows at a time."""
     small_batches(df.sparkSession)
@@ -105,7 +120,7 @@ def per_row(df: DataFrame, columns: list[str], schema: str, kernel: Callable[[di
                 got = kernel({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[n], type=shape.field(n).type) for n in names], schema=shape)
 
-    return df.select(*columns).mapInArrow(run, out)
+    return df.select(*columns).mapInArrow(released(run), out)
 
 
 def ascii_lower(text: str):

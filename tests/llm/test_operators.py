@@ -318,7 +318,7 @@ def test_contained_items_match_brute_force(spark, empty):
 
 # -- chats -----------------------------------------------------------------------------------------
 
-PARAMETERS = {"chars": ("integer", True), "text": ("string", True)}
+PARAMETERS = {"chars": ("integer", True, {"minimum": 0, "maximum": 300}), "text": ("string", True, {"maxLength": 300})}
 
 
 def test_chat_links_levels_and_json(spark):
@@ -337,7 +337,7 @@ def test_chat_links_levels_and_json(spark):
     assert chat_format.format_chats(chat_format.from_turns(table.where("false")), PARAMETERS, "reply").count() == 0
 
 
-@pytest.mark.parametrize(("arguments", "valid"), [('{"text":"a","chars":1}', True), ('{"chars":"1","text":"a"}', False), ('{"chars":1}', False), ('{"chars":1,"text":"a","more":2}', False), ("[1]", False), ("{bad", False), (None, False)])
+@pytest.mark.parametrize(("arguments", "valid"), [('{"text":"a","chars":1}', True), ('{"chars":"1","text":"a"}', False), ('{"chars":1}', False), ('{"chars":1,"text":"a","more":2}', False), ("[1]", False), ("{bad", False), (None, False), ('{"text":"a","chars":301}', False), ('{"text":"a","chars":-1}', False), ('{"text":"' + "é" * 300 + '","chars":300}', True), ('{"text":"' + "é" * 301 + '","chars":300}', False)])
 def test_chat_schema_validation(spark, arguments, valid):
     df = spark.createDataFrame([(arguments,)], "arguments string")
     assert df.select(chat_format.valid_arguments("arguments", PARAMETERS)).first()[0] is valid
