@@ -8,7 +8,9 @@ Reading: the driver plans one partition a file. Predicates on the record type an
 header columns are pushed down (``spark.sql.python.filterPushdown.enabled``). A record's header
 is inflated first; when the predicates reject it, or the ``payload`` option is false, the reader
 goes on to the next member without inflating the rest. Files of others, without the extra field
-or not compressed, are read too.
+or not compressed, are read too. A file that ends inside a record, or goes on with bytes that are no
+record, raises ``Broken`` with its name and the byte; with the option ``corrupt`` set to ``skip`` its
+whole records before that are the result.
 
 Defined results for ``archive_pages``: a null html is an empty payload; of equal payloads of at
 least ``LEAST_REVISIT`` bytes the rows with the largest page_id are responses and the others
@@ -140,9 +142,15 @@ class File(InputPartition):
     name: str
 
 
+class Broken(OSError):
+    """An archive has no whole record where one should be."""
+
+
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, payload: bool):
-        self.path, self.payload = path, payload
+    def __init__(self, path: str, payload: bool, corrupt: str = "fail"):
+        if corrupt not in ("fail", "skip"):
+            raise ValueError(f"corrupt is fail or skip, not {corrupt}")
+        self.path, self.payload, self.corrupt = path, payload, corrupt
         self.tests: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -166,6 +174,13 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
+    def records(self, source, name: str) -> Iterator[tuple[dict[str, str], bytes | None]]:
+        try:
+            yield from (gzip_records if name.endswith(".gz") else plain_records)(source, self.wanted, self.payload)
+        except Broken as broken:
+            if self.corrupt == "fail":
+                raise Broken(f"{name}: {broken}") from broken
+
     def read(self, partition: File) -> Iterator[pa.RecordBatch]:
         if not partition.name:
             return
@@ -173,7 +188,7 @@ class WarcReader(DataSourceReader):
         held: list[dict] = []
         size = 0
         with system.open_input_file(partition.name) as source:
-            for head, block in (gzip_records if partition.name.endswith(".gz") else plain_records)(source, self.wanted, self.payload):
+            for head, block in self.records(source, partition.name):
                 row = {name: head.get(field.lower()) for name, field in FIELDS.items()}
                 if block is not None and head.get("content-type", "").startswith("application/http"):
                     block = block.partition(b"\r\n\r\n")[2]
@@ -192,46 +207,69 @@ def to_batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], pa.binary() if n == "payload" else pa.string()) for n in names], names=names)
 
 
+def skip_length(source, at: int, end: int) -> int | None:
+    """The length of the member at a byte, if its extra field has it."""
+    source.seek(at)
+    first = source.read(12)
+    if len(first) < 12 or first[:3] != b"\x1f\x8b\x08":
+        raise Broken(f"no gzip member at byte {at}")
+    if not first[3] & 4:
+        return None
+    extra = source.read(struct.unpack("<H", first[10:12])[0])
+    length = struct.unpack("<I", extra[4:8])[0] if extra[:2] == b"sl" and len(extra) >= 12 else None
+    if length is not None and not 0 < length <= end - at:
+        raise Broken(f"the member at byte {at} is cut off")
+    return length
+
+
 def gzip_records(source, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """Headers and blocks of the members; a block that is not needed is neither inflated nor, with a skip length, read."""
     at, end = 0, source.size()
     while at < end:
+        length = skip_length(source, at, end)
         source.seek(at)
-        first = source.read(12)
-        extra = source.read(struct.unpack("<H", first[10:12])[0]) if first[3] & 4 else b""
-        length = struct.unpack("<I", extra[4:8])[0] if extra[:2] == b"sl" else None
-        source.seek(at)
-        inflate, plain, used, fresh = zlib.decompressobj(31), b"", 0, b""
+        inflate, plain, used = zlib.decompressobj(31), b"", 0
 
-        def more(limit: int) -> bool:
-            nonlocal plain, used, fresh
+        def more(limit: int) -> bytes | None:
+            """Some more of the member's plain bytes, perhaps none; None at its end."""
+            nonlocal used
+            if inflate.eof:
+                return None
             fresh = inflate.unconsumed_tail
             if not fresh:
-                fresh = source.read(min(HEAD_BYTES if not plain else 1 << 20, length - used if length is not None else 1 << 20))
+                fresh = source.read(min(HEAD_BYTES if not used else 1 << 20, length - used if length is not None else 1 << 20))
                 used += len(fresh)
                 if not fresh:
-                    return False
-            plain += inflate.decompress(fresh, limit)
-            return not inflate.eof
-
-        while b"\r\n\r\n" not in plain and more(HEAD_BYTES):
-            pass
-        raw, _, rest = plain.partition(b"\r\n\r\n")
+                    raise Broken(f"the member at byte {at} is cut off")
+            try:
+                return inflate.decompress(fresh, limit)
+            except zlib.error as error:
+                raise Broken(f"the member at byte {at}: {error}") from error
+
+        while b"\r\n\r\n" not in plain and (part := more(HEAD_BYTES)) is not None:
+            plain += part
+        raw, found, rest = plain.partition(b"\r\n\r\n")
+        if not found:
+            raise Broken(f"the member at byte {at} has no whole header")
         head = parse_head(raw)
         take = wanted(head)
         if take and payload or length is None:
             pieces = [rest]
-            while not inflate.eof:
-                plain = b" "
-                if not more(1 << 20) and not inflate.eof:
-                    break
-                pieces.append(plain[1:])
+            while (part := more(1 << 20)) is not None:
+                pieces.append(part)
             rest = b"".join(pieces)
         if take:
-            yield head, rest[: int(head.get("content-length", 0))] if payload else None
+            yield head, rest[: block_length(head, at)] if payload else None
         at = at + length if length is not None else at + used - len(inflate.unused_data)
 
 
+def block_length(head: dict[str, str], at: int) -> int:
+    text = head.get("content-length", "0")
+    if not text.isdecimal():
+        raise Broken(f"the record at byte {at} has no length")
+    return int(text)
+
+
 def plain_records(source, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
     at, end = 0, source.size()
     while at < end:
@@ -239,11 +277,13 @@ def plain_records(source, wanted, payload: bool) -> Iterator[tuple[dict[str, str
         raw = b""
         while b"\r\n\r\n" not in raw and (part := source.read(HEAD_BYTES)):
             raw += part
-        if b"\r\n\r\n" not in raw:
-            return
+        if b"\r\n\r\n" not in raw or not raw.startswith(b"WARC/"):
+            raise Broken(f"no whole header at byte {at}")
         head_bytes = raw.index(b"\r\n\r\n")
         head = parse_head(raw[:head_bytes])
-        start, length = at + head_bytes + 4, int(head.get("content-length", 0))
+        start, length = at + head_bytes + 4, block_length(head, at)
+        if start + length > end:
+            raise Broken(f"the record at byte {at} is cut off")
         if wanted(head):
             block = None
             if payload:
@@ -264,7 +304,7 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(self.options["path"], self.options.get("payload", "true") != "false")
+        return WarcReader(self.options["path"], self.options.get("payload", "true") != "false", self.options.get("corrupt", "fail"))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"])
@@ -285,13 +325,14 @@ def records(pages: DataFrame, work: Workspace) -> DataFrame:
     if groups.count() <= SMALL_GROUPS:
         groups = F.broadcast(groups)
     joined = rows.join(groups, ["digest", "size"], "left")
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
     return joined.select(
         urn("page_id").alias("record_id"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.col("url").alias("target_uri"),
-        F.lit("1970-01-01T00:00:00Z").alias("date"),
+        now.alias("date"),
         F.when(revisit, urn("kept")).alias("refers_to"),
         F.concat(F.lit("sha1:"), "digest").alias("payload_digest"),
         F.col("size").cast("string").alias("payload_bytes"),
@@ -306,7 +347,9 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     work = Workspace(spark, "warc")
     kind = dict(pages.dtypes)["page_id"]
     records(pages, work).write.format("warc").mode("append").option("path", work.path("archive")).save()
-    back = spark.read.format("warc").option("path", work.path("archive")).load()
+    # payloads are inflated for responses only; of revisits the headers say it all
+    read = lambda payload, kind: spark.read.format("warc").option("path", work.path("archive")).option("payload", payload).load().where(F.col("record_type") == kind)
+    back = read("true", "response").unionByName(read("false", "revisit"))
     response = F.col("record_type") == "response"
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
     number = lambda c: F.when(page(c) != "", page(c)).cast(kind)

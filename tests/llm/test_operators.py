@@ -246,6 +246,24 @@ def test_warc_pushdown_and_foreign_files(spark, tmp_path):
     assert len(left) == 1 and sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 3
 
 
+def test_warc_truncated_and_foreign_bytes(spark, tmp_path):
+    import gzip
+
+    warc.register(spark)
+    plain = [warc.record_bytes({"record_id": f"<r{i}>", "record_type": "response", "payload": bytes([65 + i]) * 9000}) for i in range(3)]
+    whole = {"a.warc": b"".join(plain), "b.warc.gz": b"".join(map(gzip.compress, plain)), "c.warc.gz": b"".join(map(warc.member, plain))}
+    for name, data in whole.items():
+        for broken, left in ((data[: -len(data) // 6], 2), (data + b"more", 3), (data[:5], 0), (b"", 0), (data, 3)):
+            folder = tmp_path / f"{name}-{len(broken)}"
+            folder.mkdir()
+            (folder / name).write_bytes(broken)
+            read = spark.read.format("warc").option("path", f"file://{folder}")
+            assert read.option("corrupt", "skip").load().where("length(payload) = 9000").count() == left, (name, len(broken))
+            if broken not in (data, b""):
+                with pytest.raises(Exception, match="Broken"):
+                    read.option("corrupt", "fail").load().count()
+
+
 # -- suffix tree -----------------------------------------------------------------------------------
 
 
