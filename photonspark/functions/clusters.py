@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photonspark.functions.decode import safe_divide
-from photonspark.operators.small import LOOKUP_ROWS, bounded_broadcast
+from photonspark.operators.small import bounded_broadcast, image_of
 
 TL, TR, BL, BR = range(4)
 
@@ -173,14 +174,10 @@ def gain_map(clusters: DataFrame, gains: DataFrame, shape: Shape, rows: int, col
     The map, at most rows * cols values, becomes one array, so a cluster is one projection and no row is shuffled;
     all columns of ``clusters`` stay. A pixel without a gain becomes 0.
     """
-    if rows * cols > LOOKUP_ROWS:
-        raise ValueError(f"a gain map has at most {LOOKUP_ROWS} pixels")
     hx, hy = shape.sx // 2, shape.sy // 2
-    place = (F.col("row") * cols + F.col("col")).cast("long")
-    inside = F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1)
-    given = gains.where(inside).groupBy(place.alias("place")).agg(F.max(F.lit(1.0) / F.col("gain")).alias("inverse"))
-    every = gains.sparkSession.range(rows * cols).join(given, F.col("id") == F.col("place"), "left")
-    inverse = every.agg(F.array_sort(F.collect_list(F.struct("id", "inverse"))).alias("m")).select(F.transform("m", lambda p: p["inverse"])).scalar()
+    (inverse,) = image_of(gains.select("row", "col", (F.lit(1.0) / F.col("gain")).alias("inverse")), (rows, cols), "inverse")
+    held = pa.table({"inverse": pa.array([pa.array(inverse.ravel(), from_pandas=True)], pa.list_(pa.float64()))})
+    inverse = gains.sparkSession.createDataFrame(held).scalar()
     border = (F.col("x") < hx) | (F.col("y") < hy) | (F.col("x") >= cols - hx) | (F.col("y") >= rows - hy)
     at = lambda i: ((F.col("y") + (i // shape.sx - hy)) * cols + F.col("x") + (i % shape.sx - hx)).cast("int")
     scaled = [F.coalesce((F.col("data")[i] * F.get(inverse, at(i))).cast(kind), F.lit(0).cast(kind)) for i in range(shape.sx * shape.sy)]

@@ -18,27 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonspark.operators.small import LOOKUP_ROWS
+from photonspark.operators.small import image_of
 
 MAX_HIT_PIXELS = 50
 CLUSTERS = "frame long, x int, y int, data array<long>"
 
 
-def image_of(pixels: DataFrame, shape: tuple[int, int], *columns: str) -> list[np.ndarray]:
-    """Columns of ``pixels(row, col, ...)`` as images on the driver; NaN where there is none. Bounded by the detector."""
-    if shape[0] * shape[1] > LOOKUP_ROWS:
-        raise ValueError(f"a detector has at most {LOOKUP_ROWS} pixels")
-    inside = F.col("row").between(0, shape[0] - 1) & F.col("col").between(0, shape[1] - 1)
-    # one row a pixel, whatever is given
-    once = pixels.where(inside).groupBy("row", "col").agg(*(F.max(c).cast("double").alias(c) for c in columns))
-    found = once.toArrow()
-    at = found.column("row").to_numpy().astype(int), found.column("col").to_numpy().astype(int)
-    images = [np.full(shape, np.nan) for _ in columns]
-    for image, name in zip(images, columns):
-        image[at] = found.column(name).to_numpy()
-    return images
-
-
 def half_up(v: np.ndarray) -> np.ndarray:
     return (np.sign(v) * np.floor(np.abs(v) + 0.5)).astype(np.int64)
 
