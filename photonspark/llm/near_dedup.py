@@ -321,7 +321,7 @@ class Join:
 
     # -- confirmation --------------------------------------------------------------------------
     def confirm(self, pairs: DataFrame) -> bool:
-        """Confirm new pairs on full shingle sets and merge components; false if there were none."""
+        """Confirm new pairs on the words and merge components; false if there was no link."""
         self.turn += 1
         ordered = pairs.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).where("a != b").distinct()
         if self.tried is not None:
@@ -343,17 +343,19 @@ class Join:
 
         kind = dict(self.docs.dtypes)["doc_id"]
         joined = ordered.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-        self.merge(joined.mapInArrow(released(run), f"a {kind}, b {kind}").distinct(), n)
+        linked = self.merge(joined.mapInArrow(released(run), f"a {kind}, b {kind}").distinct(), n)
         self.work.drop(self.name("texts"))
-        return True
+        return linked
 
-    def merge(self, links: DataFrame, rows: int) -> None:
-        """Add links, of which there are about ``rows`` at most: only they are contracted, between components."""
+    def merge(self, links: DataFrame, rows: int) -> bool:
+        """Add links, of which there are about ``rows`` at most: only they are contracted, between components. False without links."""
         found = self.work.table(links, self.name("links"))
+        if found.isEmpty():
+            return False
         self.n_links += rows
         if self.labels is None:
             self.labels = contract(self.work, found, self.name("component"), rows)
-            return
+            return True
         old = self.labels
         ends = [old.select(F.col("vertex").alias(f"v{k}"), F.col("label").alias(f"l{k}")) for k in "ab"]
         moved = found.join(ends[0], F.col("a") == F.col("va"), "left").join(ends[1], F.col("b") == F.col("vb"), "left")
@@ -362,6 +364,7 @@ class Join:
         kept = old.join(renamed, F.col("label") == F.col("v"), "left").select("vertex", F.coalesce("l", "label").alias("label"))
         fresh = new.join(old.select(F.col("vertex").alias("v")), F.col("vertex") == F.col("v"), "left_anti")
         self.labels = self.work.table(kept.unionByName(fresh), self.name("labels"), 2 * self.n_links)
+        return True
 
     def texts_of(self, ids: DataFrame, rows: int, name: str) -> DataFrame:
         """Texts of representatives: one row a distinct ``(doc_id, text)``."""
@@ -439,6 +442,8 @@ class Join:
         rows = self.reps.select("rep", "n", *SKETCHES, F.explode("nodes").alias("node"))
         for depth in range(DEPTH, MAX_DEPTH + 1):
             live = self.live(rows)
+            if not self.n_live:
+                break
             for k in range(STAR_ROUNDS):
                 if not self.confirm(self.star(self.unresolved(live), 1000 * depth + k)):
                     break
