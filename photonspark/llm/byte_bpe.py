@@ -14,8 +14,8 @@ The rounds of the recursive query grow with the piece, and each reads all of it.
 bytes (a run of letters without a space, say) are therefore contracted by a heap of pairs, which takes
 the same pairs in the same order in n log n steps, so no piece is too long.
 
-Pieces are cached in a worker up to ``CACHED`` entries, after which the cache starts anew; the
-memory of a task thus depends on the block size, not on the partition.
+A worker caches the pieces met lately, in two generations of ``CACHED`` entries; the memory of a
+task thus depends on the block size, not on the partition.
 
 Defined results: a null or empty text has no tokens and decodes to no bytes; invalid surrogates
 do not occur in Spark strings; repeated rows are encoded alike; an empty table gives an empty
@@ -35,9 +35,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from photonspark.llm.workspace import per_row
+from photonspark.llm.workspace import Recent, per_row
 
-CACHED = 400_000
+CACHED = 80_000
 
 #: A word is one row keyed by its number; a turn unnests it to token-position rows.
 ENCODE = """
@@ -103,7 +103,7 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
         self.find = regex.compile(pattern).findall
-        self.cache: dict[str, bytes] = {}
+        self.cache = Recent(CACHED)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "700MB"})
         rows = [(self.ranks[x], self.ranks[y], rank) for token, rank in self.ranks.items() for i in range(1, len(token)) if (x := token[:i]) in self.ranks and (y := token[i:]) in self.ranks]
         first, second, merged = map(list, zip(*rows))
@@ -146,7 +146,7 @@ class Codec:
                 heappush(heap, (found, left))
         return np.array([t for t in token if t >= 0], dtype="<u4").tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces and cache them as little-endian unsigned 32-bit ids."""
         open_words, raws = [], []
         for piece in pieces:
@@ -180,9 +180,7 @@ class Codec:
         new: set[str] = set()
         for pieces in parted:
             new.update(pieces)
-        if len(self.cache) + len(new) > CACHED:
-            self.cache.clear()
-        self._learn({piece for piece in new if piece not in self.cache})
+        self._learn(self.cache.missing(new))
         return [b"".join(map(self.cache.__getitem__, pieces)) for pieces in parted]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
@@ -224,4 +222,4 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keys: tuple[str, ...
         return columns
 
     schema = [f"{k} {kinds[k]}" for k in keys] + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>", "decoded binary"] * ids
-    return per_row(docs, [*keys, "text"], ", ".join(schema), block, rows=512)
+    return per_row(docs, [*keys, "text"], ", ".join(schema), block, rows=768)

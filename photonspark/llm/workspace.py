@@ -11,7 +11,7 @@ import atexit
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -90,6 +90,32 @@ class Workspace:
             pass
 
 
+class Recent(dict):
+    """Key -> value for the keys met lately: at most two generations of about ``bound`` keys each.
+
+    A full generation becomes the old one, and what is asked for again moves to the new one, so
+    frequent keys stay and the memory is bounded.
+    """
+
+    def __init__(self, bound: int):
+        super().__init__()
+        self.bound, self.old = bound, {}
+
+    def missing(self, keys: Iterable) -> list:
+        """The keys without a value; all others are in the new generation."""
+        if len(self) > self.bound:
+            self.old = dict(self)
+            self.clear()
+        out = []
+        for key in keys:
+            if key not in self:
+                if (found := self.old.get(key)) is None:
+                    out.append(key)
+                else:
+                    self[key] = found
+        return out
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A kernel whose worker gives freed memory back to the system at the end of a task; workers live on between stages."""
 

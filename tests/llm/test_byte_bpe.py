@@ -36,3 +36,14 @@ def test_heap_and_recursive_query_agree(monkeypatch):
     held = byte_bpe.Codec(PATH, public_tokenizers.PATTERN).encode(texts)
     monkeypatch.setattr(byte_bpe, "HUGE", 0)
     assert byte_bpe.Codec(PATH, public_tokenizers.PATTERN).encode(texts) == held
+
+
+def test_two_generations_of_pieces(library, monkeypatch):
+    """Pieces that come back stay, the others go, and ids do not depend on it."""
+    monkeypatch.setattr(byte_bpe, "CACHED", 20)
+    codec = byte_bpe.Codec(PATH, public_tokenizers.PATTERN)
+    for turn in range(30):
+        texts = [f"the river and {letters(7 + turn % 3)}{turn}-{k} of it" for k in range(5)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == [library.encode_ordinary(t) for t in texts]
+        assert len(codec.cache) + len(codec.cache.old) < 150
+    assert " river" in codec.cache or " river" in codec.cache.old
