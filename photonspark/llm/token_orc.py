@@ -31,10 +31,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from photonspark.llm.workspace import Recent, Workspace
+from photonspark.llm.workspace import Workspace
 
 END_ID = 1
-CACHED = 150_000
+CACHED = 400_000
 STRIDE = 1000
 STRIPE_BYTES = 16 << 20
 #: The steps of a tokenizer whose ids of a text are those of its words in order.
@@ -83,17 +83,19 @@ class Coder:
         self.model, self.letters = self.library.model, byte_letters()
         self.split = regex.compile(SPLITTERS[0]["pattern"]["Regex"]).findall
         self.raw = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
-        self.pieces, self.words = Recent(CACHED), Recent(CACHED)
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return b"".join([self.raw[i] for i in self.library.encode(text, add_special_tokens=False).ids])
 
     def piece(self, piece: str) -> bytes:
         """One piece of the splitter, by the library's model alone."""
-        if self.pieces.missing((piece,)):
+        found = self.pieces.get(piece)
+        if found is None:
             shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            self.pieces[piece] = b"".join([self.raw[t.id] for t in self.model.tokenize(shown)])
-        return self.pieces[piece]
+            self.pieces[piece] = found = b"".join([self.raw[t.id] for t in self.model.tokenize(shown)])
+        return found
 
     def word(self, word: str) -> bytes:
         if word.isascii() and word.isalpha():
@@ -104,8 +106,13 @@ class Coder:
         return b"".join(map(self.piece, self.split(low)))
 
     def known(self, words: list[str]) -> list[bytes]:
-        for word in self.words.missing(words):
-            self.words[word] = self.word(word)
+        if len(self.words) > CACHED:
+            self.words.clear()
+        if len(self.pieces) > CACHED:
+            self.pieces.clear()
+        for word in words:
+            if word not in self.words:
+                self.words[word] = self.word(word)
         return list(map(self.words.__getitem__, words))
 
     def encode(self, texts: pa.Array, end: bytes = b"") -> pa.ListArray:
