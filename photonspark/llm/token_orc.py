@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from photonspark.llm.workspace import Workspace
+from photonspark.llm.workspace import Workspace, words_of
 
 END_ID = 1
 CACHED = 400_000
@@ -47,6 +48,8 @@ SPLITTERS = [
 SPECIAL = "<|"
 #: Words of these characters need no composition, and Unicode versions agree on their classes.
 LATIN = regex.compile(r"[!-~\u00a1-\u024f]+")
+#: The ASCII characters that are no letters, digits, white space or controls.
+MARKS = string.punctuation
 
 
 def by_word(spec: dict) -> bool:
@@ -100,6 +103,9 @@ class Coder:
     def word(self, word: str) -> bytes:
         if word.isascii() and word.isalpha():
             return self.piece(word)
+        core = word.rstrip(MARKS)
+        if core.isascii() and core.isalpha():  # the marks at the end are one piece
+            return self.piece(core) + self.piece(word[len(core) :])
         low = word.lower()
         if len(low) != len(word) or not LATIN.fullmatch(low):
             return self.whole(word)
@@ -123,7 +129,7 @@ class Coder:
         special = special.to_numpy(zero_copy_only=False)
         words = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(pa.array(special), "", texts)))
         coded = words.flatten().dictionary_encode()
-        held = [*self.known(coded.dictionary.to_pylist()), *entries, end]
+        held = [*self.known(words_of(coded.dictionary)), *entries, end]
         sizes = np.array([len(x) // 4 for x in held])
         starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(held), dtype="<u4").astype(np.int32)
         # after the words of a text: its own entry if it was encoded whole, and the end

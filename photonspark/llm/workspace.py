@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -116,6 +117,13 @@ class Recent(dict):
         return out
 
 
+def words_of(words: pa.Array) -> list[str]:
+    """Strings without a space, as Python's: joined and parted again, which takes a tenth of the time of ``to_pylist``."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().split(" ")
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A kernel whose worker gives freed memory back to the system at the end of a task; workers live on between stages."""
 
