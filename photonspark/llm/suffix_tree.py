@@ -262,6 +262,30 @@ def lookup(sorted_keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> n
     return np.where(sorted_keys[at] == wanted, values[at], 0)
 
 
+class Places:
+    """Where keys stand in a sorted array of distinct keys: by a hash table, and by a search for the few that lost their slot to another."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - (4 * len(keys) + 1).bit_length())
+        self.slots = np.zeros(1 << 64 - int(self.shift), dtype=np.int32)
+        self.slots[self.slot(keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64)
+        mixed ^= mixed >> np.uint64(23)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed >>= self.shift
+        return mixed.view(np.int64)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The places of keys that are all in the array."""
+        at = self.slots[self.slot(wanted)]
+        lost = np.flatnonzero(self.keys[at] != wanted)
+        at[lost] = np.searchsorted(self.keys, wanted[lost])
+        return at
+
+
 def log_probabilities(levels: list[Level], code: np.ndarray) -> np.ndarray:
     """log10 probability of the symbol of each code in the longest suffix of its context that is a state."""
     root = levels[0]
@@ -360,14 +384,14 @@ def score(docs: DataFrame, trained: Column, name: str = "suffix-tree") -> DataFr
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         logs = {word: (c, math.log10(c + 1)) for word, c in often.value.items()}
         code, first = np.unique(found["code"].to_numpy(), return_index=True)
-        log_p = found["log_p"].to_numpy()[first]
+        log_p, places = found["log_p"].to_numpy()[first], Places(code)
         out = []
         for batch in _blocks(texts.to_batches()):
             parts = [tokens(t) for t in batch.column("text").to_pylist()]
             symbols, starts = stream(parts)
             at = scored(starts)
             running = np.zeros(len(symbols) + 1)
-            running[at + 1] = log_p[np.searchsorted(code, context_codes(symbols, at))]
+            running[at + 1] = log_p[places.find(context_codes(symbols, at))]
             running = np.cumsum(running)
             known, base, rare, times = [], [], [], []
             for ws in parts:
