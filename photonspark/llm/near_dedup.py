@@ -38,12 +38,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photonspark.llm.components import contract
-from photonspark.llm.workspace import Workspace, released
+from photonspark.llm.workspace import Workspace, released, words_of
 
 COORDINATES = 128
 BRANCH = 2
@@ -100,6 +101,31 @@ def shingle_set(words: list[bytes], size: int, hashes: dict[bytes, int]) -> np.n
     return np.unique(out)
 
 
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """``shingle_set`` of the words of each text: a distinct word of the block is hashed once, and shingles are mixed for all texts at once."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = words.flatten().dictionary_encode()
+    distinct = words_of(coded.dictionary)
+    at, ends = coded.indices.to_numpy(), words.offsets.to_numpy() - words.offsets[0].as_py()
+    real = np.array([bool(w) for w in distinct], dtype=bool)[at]  # white space at an end of a text leaves an empty word
+    ends = np.r_[0, np.cumsum(real)][ends].tolist()
+    each = np.array([xxhash.xxh64_intdigest(w.encode()) for w in distinct], dtype=np.uint64)[at[real]]
+    full = np.full(max(0, len(each) - size + 1), size, dtype=np.uint64)
+    for k in range(size if len(full) else 0):
+        full = mix(full ^ each[k : len(full) + k])
+    out = []
+    for start, stop in zip(ends[:-1], ends[1:]):
+        if stop - start >= size:
+            found = np.sort(full[start : stop - size + 1])
+            out.append(found[np.r_[True, found[1:] != found[:-1]]])
+        else:
+            found = np.full(min(1, stop - start), stop - start, dtype=np.uint64)
+            for k in range(start, stop):
+                found = mix(found ^ each[k])
+            out.append(found)
+    return out
+
+
 def exact_shingles(text: str | None, size: int) -> set[tuple[bytes, ...]]:
     """The set that a text stands for."""
     words = tokens(text)
@@ -127,9 +153,10 @@ def similar(left: list[bytes], right: list[bytes], size: int, percent: int) -> b
 
 def minhashes(shingles: np.ndarray) -> np.ndarray:
     best = np.full(COORDINATES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(shingles), 2048):
-        part = shingles[at : at + 2048, None] * _FACTORS
-        best = np.minimum(best, (part ^ (part >> _U(29))).min(axis=0))
+    for at in range(0, len(shingles), 256):  # so few that both arrays stay in the processor's cache
+        part = shingles[at : at + 256, None] * _FACTORS
+        part ^= part >> _U(29)
+        np.minimum(best, part.min(axis=0), out=best)
     return (best >> _U(32)).astype(np.uint32)
 
 
@@ -162,11 +189,10 @@ def sketch_limit(threshold: float) -> int:
 
 def _fingerprints(docs: DataFrame, size: int, trees: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [shingle_set(tokens(t), size, hashes) for t in part.column(1).to_pylist()]
+                sets = shingle_sets(part.column(1), size)
                 digest = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
                 signature = np.array([minhashes(s) for s in sets], dtype=np.uint32).reshape(-1, COORDINATES)
                 bits = np.stack([signature & 1, (signature >> 1) & 1], axis=2).reshape(len(sets), -1).astype(np.uint8)
